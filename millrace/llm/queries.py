@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import lookalike
+from millrace.llm import leakage, lookalike
+from millrace.llm.shared_spans import SharedSpans
 from millrace.session import table
 
 
@@ -53,8 +54,52 @@ def _looks_sql(col: str) -> str:
 
 _LOOKS_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS source_table, {key} AS row_id, {text} AS raw, {_looks_sql(text)} AS canonical FROM {name}" for name, key, text in _LOOKS)
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical}
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold at least 13 consecutive words."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap of each document and item that match outside a seed's ignored positions, with substituted words."""
+    return leakage.item_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that share at least 300 consecutive characters."""
+    return SharedSpans(table(spark, sf_dir, "documents")).pairs()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document also stands elsewhere, in spans of at least 300 characters."""
+    return SharedSpans(table(spark, sf_dir, "documents")).shares()
+
+
+def p9_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without sentences that stand in a shared span of an earlier document."""
+    return SharedSpans(table(spark, sf_dir, "documents")).deduplicated()
+
+
+_WORDS_SQL = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_GRAMS_SQL = """
+  {name} AS (SELECT {key}, list_aggregate(w[i : i + 12], 'string_agg', ' ') AS g
+             FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key}, {words} AS w FROM {table})))"""
+_SPANS_SQL = """
+  s AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h
+        FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
+
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
 SQL = {
+    "p7_found": f"WITH {_GRAMS_SQL.format(name='d', key='doc_id', words=_WORDS_SQL.format('text'), table='documents')}, {_GRAMS_SQL.format(name='e', key='item_id', words=_WORDS_SQL.format('passage'), table='eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
+    "p9_found": f"WITH {_SPANS_SQL} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p9_shares": f"""WITH {_SPANS_SQL},
+  hit AS (SELECT DISTINCT a.doc_id, a.i FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id),
+  gaps AS (SELECT doc_id, least(300, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300)) AS n FROM hit),
+  sums AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS shared_chars FROM gaps GROUP BY doc_id)
+  SELECT doc_id, length(text) AS chars, coalesce(shared_chars, 0) AS shared_chars,
+         round(coalesce(shared_chars, 0) / length(text), 6) AS shared_share
+  FROM documents LEFT JOIN sums USING (doc_id) WHERE length(text) >= 300""",
     "p1_found": f"WITH t AS ({_LOOKS_SQL}) SELECT DISTINCT a.source_table, a.row_id AS id_a, b.row_id AS id_b FROM t a JOIN t b ON a.source_table = b.source_table AND a.canonical = b.canonical AND a.raw <> b.raw AND a.row_id < b.row_id",
     "p1_canonical": f"WITH t AS ({_LOOKS_SQL}) SELECT DISTINCT source_table, row_id, canonical FROM t",
 }
