@@ -20,6 +20,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import salted_join
 
@@ -150,7 +151,7 @@ def canonical_udf(table: dict[str, str]):
     ascii_stays = not any(m.isascii() for m in table)
     state: list[ahocorasick.Automaton] = []
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def canonical(texts: pd.Series) -> pd.Series:
         if not state:
             state.append(_automaton(table))

@@ -86,7 +86,7 @@ _GRAMS_SQL = """
   {name} AS (SELECT {key}, list_aggregate(w[i : i + 12], 'string_agg', ' ') AS g
              FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key}, {words} AS w FROM {table})))"""
 _SPANS_SQL = """
-  s AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h
+  s AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h
         FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
 
 QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}

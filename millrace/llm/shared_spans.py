@@ -20,6 +20,7 @@ import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import materialise, salted_join
 
@@ -77,12 +78,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(hashes), pa.int64()), pa.array(np.concatenate(places), pa.int32())], names=["text_key", "run", "place"])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _key_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: text_key(t.encode()))
 
 
-@F.pandas_udf("struct<back: int, ahead: int>")
+@F.pandas_udf(T.StructType([T.StructField("back", T.IntegerType()), T.StructField("ahead", T.IntegerType())]))
 def _extension(a: pd.Series, b: pd.Series, from_a: pd.Series, from_b: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Characters by which a shared span goes on to both sides."""
     back, ahead = [], []
@@ -171,7 +172,7 @@ class SharedSpans:
         """``(doc_id, text)``: texts without the sentences that a span already standing in an earlier record covers whole."""
         cuts = self.covered(first_stays=True).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
 
-        @F.pandas_udf("string")
+        @F.pandas_udf(T.StringType())
         def kept(texts: pd.Series, cuts: pd.Series) -> pd.Series:
             out = []
             for text, spans in zip(texts, cuts):
