@@ -1,0 +1,213 @@
+"""Names of people and organisations: their forms, phonetic codes and comparison."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from functools import lru_cache
+
+# Short and pet forms of given names.
+NICKNAMES = {
+    "abigail": "abby abbie gail", "alexander": "alex sandro sandy xander lex sasha", "augustine": "gus augie austin",
+    "bartholomew": "bart barty bartie", "benjamin": "ben benji benny benjie", "catherine": "cathy cate cath kate katie kitty",
+    "christopher": "chris kit topher", "cornelius": "cor neels corrie neil", "daniella": "dani ella danni", "desmond": "des dez desi",
+    "elizabeth": "liz beth lizzie betty eliza libby", "emmanuel": "manny manu", "frederick": "fred freddie freddy",
+    "gabriella": "gabi ella gaby gabby", "harriet": "hattie harry", "ignatius": "iggy natie ignaz nate", "isabella": "bella izzy isa belle",
+    "jacqueline": "jackie jacqui", "johannes": "hannes johan jan", "jonathan": "jon jono jonny nathan", "katharina": "kat rina kathi katja",
+    "kgomotso": "kgomi motso", "leonardo": "leo nardo lenny", "lindiwe": "lindi", "ludovica": "ludo vica", "margaret": "peggy maggie meg marge rita",
+    "matthias": "matt matty thias", "mohammed": "moe mo hammed", "natalia": "nat talia natty", "nomvula": "vula nomi", "octavia": "tavi tavia",
+    "olufemi": "femi olu", "patricia": "pat patty trish tricia trisha", "penelope": "penny nell pen", "priyanka": "priya pri", "quentin": "quin quint",
+    "rebecca": "bex becky becca", "rosalind": "roz rosa linda rose", "samantha": "sam sammie sammy mantha", "sibusiso": "sbu busi", "thandeka": "thandi thandie deka",
+    "theodora": "dora thea theo", "tobias": "toby tobie", "ursula": "ulla uschi", "veronica": "vera ronnie ronni", "vincent": "vince vinny vin",
+    "wilhelmina": "willa mina wilma minnie", "winifred": "win freda winnie", "yolanda": "yoli landa yola", "zacharias": "zach zack zac harry",
+    "william": "will bill billy liam", "robert": "rob bob bobby", "richard": "rick dick rich", "michael": "mike mick", "thomas": "tom tommy",
+    "james": "jim jimmy jamie", "anthony": "tony ant", "charles": "charlie chuck", "edward": "ed ted eddie", "joseph": "joe joey",
+    "susan": "sue susie", "deborah": "deb debbie", "jennifer": "jen jenny", "stephen": "steve", "andrew": "andy drew", "gregory": "greg",
+}
+#: Words of an organisation's name that don't tell it apart.
+FILLERS = frozenset("the and co cc pty ltd inc llc plc sons bros company limited".split())
+
+FORMAL = {n: frozenset([f for f, ns in NICKNAMES.items() if n in ns.split()]) for ns in NICKNAMES.values() for n in ns.split()}
+FORMAL |= {f: frozenset([f]) for f in NICKNAMES}
+
+LETTERS = re.compile(r"[^\W\d_]+")
+#: The consonant classes of Soundex.
+CLASSES = {c: d for d, cs in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in cs}
+
+
+def plain_tokens(text: str) -> list[str]:
+    """Lower-case letter runs without accents; apostrophes and hyphens part them."""
+    flat = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return LETTERS.findall(flat.lower())
+
+
+def form(kind: str, tokens: list[str]) -> str | None:
+    """The form of a name: its kind and sorted tokens, without fillers, and without middle initials where two words remain.
+
+    None where nothing could tell the name apart: no word of five letters, or a single word without an initial.
+    """
+    tokens = [t for t in tokens if t not in FILLERS]
+    longs, initials = [t for t in tokens if len(t) > 1], [t for t in tokens if len(t) == 1]
+    if len(longs) > 1:
+        initials = []
+    if not any(len(t) >= 5 for t in longs) or len(longs) + len(initials) < 2 or len(longs) > 4:
+        return None
+    return f"{kind}|{' '.join(sorted([*longs, *initials]))}"
+
+
+@lru_cache(maxsize=100_000)
+def phonetic(token: str) -> str:
+    """Consonant classes in order, repeats without a vowel between them taken once."""
+    out, last = [], ""
+    for c in token:
+        d = CLASSES.get(c, "")
+        if d and d != last:
+            out.append(d)
+        last = d
+    return "".join(out)
+
+
+def phonetic_keys(token: str) -> list[str]:
+    """The code and the codes with one class left out: two words one edit apart share one of them."""
+    code = phonetic(token)
+    return sorted({code, *(code[:i] + code[i + 1 :] for i in range(len(code)))})
+
+
+def initials_of(token: str) -> set[str]:
+    """First letters a given name may be abbreviated to: its own and those of its formal names."""
+    return {token[0], *(f[0] for f in FORMAL.get(token, ()))}
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    reach = max(len(a), len(b)) // 2 - 1
+    used, hits = [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                hits.append(c)
+                break
+    m = len(hits)
+    if not m:
+        return 0.0
+    other = [c for c, u in zip(b, used) if u]
+    swaps = sum(x != y for x, y in zip(hits, other)) / 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    prefix = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return jaro + min(4, prefix) * 0.1 * (1 - jaro)
+
+
+def one_edit(a: str, b: str) -> bool:
+    """At most one letter left out, added, replaced, or swapped with its neighbour."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+
+
+@lru_cache(maxsize=200_000)
+def same_word(a: str, b: str) -> bool:
+    """Equal, or one typing error apart and close by Jaro-Winkler; short words must be equal."""
+    return a == b or min(len(a), len(b)) >= 5 and one_edit(a, b) and jaro_winkler(a, b) >= 0.86
+
+
+def same_given(a: str, b: str) -> bool:
+    """The same given name: equal, a nickname of it, or a typing error of it; two known names are never errors of each other."""
+    x, y = FORMAL.get(a), FORMAL.get(b)
+    if x and y:
+        return bool(x & y)
+    return same_word(a, b)
+
+
+def abbreviates(a: str, b: str) -> bool:
+    """``a`` shortens ``b``: its first three letters or more, or up to four of its letters in order, from the first on."""
+    if not 3 <= len(a) < len(b) - 1 or a[0] != b[0]:
+        return False
+    rest = iter(b)
+    return b.startswith(a) or len(a) <= 4 and all(c in rest for c in a)
+
+
+def same_trade(a: str, b: str) -> bool:
+    return same_word(a, b) or abbreviates(a, b) or abbreviates(b, a)
+
+
+def _split(form_: str) -> tuple[list[str], list[str]]:
+    tokens = form_.partition("|")[2].split(" ")
+    return [t for t in tokens if len(t) > 1], [t for t in tokens if len(t) == 1]
+
+
+def same_name(x: str, y: str) -> bool:
+    """Whether two forms of one kind mean the same person or organisation."""
+    if x == y:
+        return True
+    kind = x.partition("|")[0]
+    if kind != y.partition("|")[0]:
+        return False
+    (a, i), (b, j) = _split(x), _split(y)
+    if kind == "org":
+        if len(a) != len(b) or len(a) < 2 or i or j:
+            return False
+        return _assign(a, b, lambda p, q: same_word(p, q), lambda p, q: same_trade(p, q))
+    if len(a) == len(b) >= 2:
+        return _assign(a, b, lambda p, q: same_word(p, q), same_given)
+    if len(a) == len(b) == 1:
+        return same_word(a[0], b[0]) and bool(set(i) & set(j))
+    if len(a) == 1 and len(b) == 2:
+        return any(same_word(a[0], b[k]) and b[k] not in FORMAL and set(i) & initials_of(b[1 - k]) for k in (0, 1))
+    if len(b) == 1 and len(a) == 2:
+        return same_name(y, x)
+    return False
+
+
+def _assign(a: list[str], b: list[str], head, rest) -> bool:
+    """Whether one word of each side is the same by ``head`` and the others pair up by ``rest``."""
+    for p in range(len(a)):
+        for q in range(len(b)):
+            if min(len(a[p]), len(b[q])) >= 5 and not (a[p] in FORMAL and len(a) == 2 and a[1 - p] not in FORMAL) and head(a[p], b[q]):
+                left, right = a[:p] + a[p + 1 :], b[:q] + b[q + 1 :]
+                for t in left:
+                    hit = next((u for u in right if rest(t, u)), None)
+                    if hit is None:
+                        break
+                    right.remove(hit)
+                else:
+                    return True
+    return False
+
+
+def is_partial(form_: str) -> bool:
+    """A surname with initials only."""
+    return len(_split(form_)[0]) == 1
+
+
+@lru_cache(maxsize=100_000)
+def is_given(token: str) -> bool:
+    """A known given name, or one typing error away from one."""
+    return token in FORMAL or any(same_word(token, f) for f in FORMAL if f[0] == token[0] or f[0] == token[1:2])
+
+
+def named_by(window: str, label: str) -> bool:
+    """Whether a run of words of a title means the same as a label; next to a surname whose label
+    has only an initial, any word would do, so there it has to be a given name."""
+    (a, _), (b, _) = _split(window), _split(label)
+    if window.startswith("name|") and len(a) == 2 and len(b) == 1:
+        a = [t for t in a if not same_word(t, b[0])]
+        if not all(map(is_given, a)):
+            return False
+    return same_name(window, label)
+
+
+def windows(title: str) -> list[str]:
+    """The forms of all runs of two to four words of a title that could be a name."""
+    tokens, out = [t for t in plain_tokens(title) if t not in FILLERS], set()
+    for size in (2, 3, 4):
+        for i in range(len(tokens) - size + 1):
+            part = tokens[i : i + size]
+            longs = sum(len(t) > 1 for t in part)
+            if longs == 2 and size <= 3 or longs == 1 and size == 2:
+                out.add(form("name", part))
+            if longs == size and size <= 3:
+                out.add(form("org", part))
+    return sorted(f for f in out if f)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import term_counts, vector_knn
+from millrace.operators import name_variants, term_counts, vector_knn
 from millrace.session import table
 
 
@@ -35,6 +35,11 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, and labels and notes, that mean the same person or organisation."""
+    return name_variants.variant_links(table(spark, sf_dir, "memories"), table(spark, sf_dir, "notes"))
+
+
 _USABLE = """
   SELECT memory_id AS id, any_value(embedding_preview) AS v FROM memories
   WHERE embedding_preview IS NOT NULL AND len(list_filter(embedding_preview, lambda x: x <> 0)) > 0 GROUP BY memory_id"""
@@ -58,7 +63,7 @@ _TERMS = """
                     CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * total THEN 'common' END AS mark
              FROM counts JOIN totals USING (field))"""
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_counts": p3_counts}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found}
 SQL = {
     "p2_found": f"WITH {_NEAR} SELECT DISTINCT least(id, neighbour) AS memory_a, greatest(id, neighbour) AS memory_b FROM near",
     "p2_neighbours": f"WITH {_NEAR} SELECT id AS memory_id, neighbour, similarity FROM near WHERE id % 50 = 0",
