@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import leakage, lookalike
+from millrace.llm.ocr_repair import ScannedPages
 from millrace.llm.shared_spans import SharedSpans
 from millrace.session import table
 
@@ -56,6 +57,20 @@ _LOOKS_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS source_table, {key
 
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> ScannedPages:
+    return ScannedPages(table(spark, sf_dir, "memories"), F.col("name").startswith("scan-") | F.col("album").startswith("Scan "))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects of scanned memories by line."""
+    return _scanned(spark, sf_dir).defects()
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned memories as continuous paragraphs."""
+    return _scanned(spark, sf_dir).paragraphs()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items of which they hold at least 13 consecutive words."""
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -89,7 +104,7 @@ _SPANS_SQL = """
   s AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h
         FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
 SQL = {
     "p7_found": f"WITH {_GRAMS_SQL.format(name='d', key='doc_id', words=_WORDS_SQL.format('text'), table='documents')}, {_GRAMS_SQL.format(name='e', key='item_id', words=_WORDS_SQL.format('passage'), table='eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     "p9_found": f"WITH {_SPANS_SQL} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
