@@ -32,8 +32,26 @@ STATES = ("header", "page_number", "body", "break")
 # What a scanner reads (left) for what is printed (right).
 CONFUSIONS = {
     "0": "o", "1": "l i", "|": "l i", "!": "i l", "@": "a", "+": "t", "5": "s", "9": "g", "6": "b", "8": "b", "(": "c", "$": "s", "3": "e", "é": "e",
-    "cl": "d", "rn": "m", "ri": "n", "li": "h", "ii": "u", "vv": "w", "m": "rn in", "c": "e", "v": "y", "l": "i",
+    "cl": "d", "rn": "m", "ri": "n", "li": "h", "ii": "u", "vv": "w", "m": "rn in", "c": "e", "v": "y", "l": "i", "d": "cl",
 }
+#: Signs read for the letters of such a pair in turn.
+SIGNS = {"i": "1!|", "l": "1!|", "c": "("}
+
+
+def _readings() -> dict[str, tuple[str, ...]]:
+    """The confusions, with pairs of letters of which one or both were read as a sign; a sign for c may also stand for e read as c."""
+    out: dict[str, set[str]] = defaultdict(set)
+    for seen, true in CONFUSIONS.items():
+        out[seen] |= set(true.split())
+        if len(seen) == 2:
+            for a in seen[0] + SIGNS.get(seen[0], ""):
+                for b in seen[1] + SIGNS.get(seen[1], ""):
+                    out[a + b] |= set(true.split())
+    out["("].add("e")
+    return {k: tuple(sorted(v)) for k, v in out.items()}
+
+
+READINGS = _readings()
 #: Marks that break a word at a line's end.
 BREAKS = "-‐‑¬­"
 
@@ -75,7 +93,8 @@ def layout(body: str, title: str | None, repeated: set[str]) -> list[tuple]:
         s = text.strip()
         number = 2 if PAGE_MARKED.match(s) else 1 if PAGE_BARE.match(s) else 0
         titled = bool(head) and not number and (flats[i] == head or abs(len(flats[i]) - len(head)) <= 2 and jaro_winkler(flats[i], head) >= 0.93)
-        again = not number and len(flats[i]) > 3 and (flats[i] in repeated or often[flats[i]] > 1)
+        short = len(s) <= 0.6 * usual and sum(c.isdigit() for c in s) < 4  # a sentence or a row of a table may come again by chance
+        again = not number and len(flats[i]) > 3 and short and (flats[i] in repeated or often[flats[i]] > 1)
         running = (2 if EDGE_NUMBER.search(text) else 1) if titled or again else 0
         place = "first" if i == 0 else "last" if i == len(lines) - 1 else "second" if i == 1 else "inner"
         size = min(2, int(3 * len(s) / max(1, usual)))
@@ -166,10 +185,10 @@ def corrections(word: str) -> tuple[str, ...]:
             return
         for size in (2, 1):
             part = word[i : i + size]
-            if len(part) == size and part in CONFUSIONS:
-                sign = size == 1 and not part.isalpha()
+            if len(part) == size and part in READINGS:
+                sign = not part.isalpha()
                 if sign or letters < 2:
-                    for true in CONFUSIONS[part].split():
+                    for true in READINGS[part]:
                         walk(i + size, made + true, letters + (not sign))
         if word[i].isalpha() or word[i] in "-'":
             walk(i + 1, made + word[i], letters)
@@ -250,7 +269,7 @@ def page_defects(body: str, title: str | None, repeated: set[str], model: LineMo
             carried = words.pop().rstrip(BREAKS)
             if place + 1 < len(text):
                 tail = bare((lines[text[place + 1]].split() or [""])[0])
-                if tail[:1].isalpha() or tail[:1] in CONFUSIONS:
+                if tail[:1].isalpha() or tail[:1] in READINGS:
                     out.append((i + 1, "hyphen", f"{carried}-{tail}"))
                     whole = known.get(carried + tail)
                     wrong |= bool(whole) and not whole.startswith(carried)
