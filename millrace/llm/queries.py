@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, lookalike
+from millrace.llm import leakage, lookalike, pii
 from millrace.llm.ocr_repair import ScannedPages
 from millrace.llm.shared_spans import SharedSpans
 from millrace.session import table
@@ -71,6 +71,32 @@ def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, sf_dir).paragraphs()
 
 
+_BODIES = (("notes", "note_id"), ("memories", "memory_id"))
+
+
+def _detector(spark: SparkSession, sf_dir: str) -> pii.Detector:
+    bodies = [table(spark, sf_dir, name).select("body") for name, _ in _BODIES]
+    return pii.learn(bodies[0].unionByName(bodies[1]), "body")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in the bodies of notes and memories."""
+    detector, out = _detector(spark, sf_dir), None
+    for name, key in _BODIES:
+        found = pii.find_pii(table(spark, sf_dir, name), key, "body", detector).select(F.lit(name).alias("source_table"), "row_id", "kind", "pii_text")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bodies with typed placeholders."""
+    detector, out = _detector(spark, sf_dir), None
+    for name, key in _BODIES:
+        rows = pii.redact(table(spark, sf_dir, name), key, "body", detector).select(F.lit(name).alias("source_table"), "row_id", "redacted")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items of which they hold at least 13 consecutive words."""
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -104,7 +130,7 @@ _SPANS_SQL = """
   s AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h
         FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
 SQL = {
     "p7_found": f"WITH {_GRAMS_SQL.format(name='d', key='doc_id', words=_WORDS_SQL.format('text'), table='documents')}, {_GRAMS_SQL.format(name='e', key='item_id', words=_WORDS_SQL.format('passage'), table='eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     "p9_found": f"WITH {_SPANS_SQL} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
