@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import leakage, lookalike, pii
+from millrace.llm.mixing import Mixer
 from millrace.llm.ocr_repair import ScannedPages
 from millrace.llm.shared_spans import SharedSpans
 from millrace.session import table
@@ -107,6 +108,16 @@ def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.item_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix with their repeats."""
+    return Mixer(table(spark, sf_dir, "documents")).mixed(table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actual share of every source in every mix."""
+    return Mixer(table(spark, sf_dir, "documents")).shares(table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share at least 300 consecutive characters."""
     return SharedSpans(table(spark, sf_dir, "documents")).pairs()
@@ -130,7 +141,7 @@ _SPANS_SQL = """
   s AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h
         FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
 SQL = {
     "p7_found": f"WITH {_GRAMS_SQL.format(name='d', key='doc_id', words=_WORDS_SQL.format('text'), table='documents')}, {_GRAMS_SQL.format(name='e', key='item_id', words=_WORDS_SQL.format('passage'), table='eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     "p9_found": f"WITH {_SPANS_SQL} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
