@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -26,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one."""
+    return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+
+
+def clear_own(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the shared folder; DataFrames that read it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def is_directory(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -33,7 +48,7 @@ def materialise(df: DataFrame) -> DataFrame:
     outlives lost executors, which a cache or a local checkpoint would not.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,8 +62,3 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int = 16
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def local_path(path: str) -> str:
-    """``path`` without a file: scheme."""
-    return os.fspath(path).removeprefix("file://").removeprefix("file:")
