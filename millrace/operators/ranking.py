@@ -91,7 +91,7 @@ def semantic(similarity: Column) -> Column:
 
 def recency(captured: Column, now: Column) -> Column:
     days = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(captured)) / F.lit(86_400_000_000.0))
-    return 1 / (1 + days / 365)
+    return F.when(captured.isNotNull(), 1 / (1 + days / 365))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -145,7 +145,7 @@ def bridge(ranked: DataFrame, entities: DataFrame, kinds: tuple[str, ...] = ("ph
     leaders = top_k(ranked, 1, ["query_id"], [F.desc("score"), F.asc("doc_id")])
     details = leaders.join(entities.where(F.col("type").isin(*kinds)), "doc_id").select("query_id", F.col("doc_id").alias("leader"), "identity").distinct()
     shared = entities.join(small(details), "identity").where("doc_id <> leader").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"))
-    gain = F.coalesce(F.least(F.lit(0.15), 0.06 + 0.04 * F.col("shared")), F.lit(0.0))
+    gain = F.when(F.col("shared").isNull(), 0.0).otherwise(F.least(F.lit(0.15), 0.06 + 0.04 * F.col("shared")))
     return ranked.join(shared, ["query_id", "doc_id"], "left").withColumn("bridge", gain).withColumn("bridged", F.col("score") + F.col("bridge")).drop("shared")
 
 

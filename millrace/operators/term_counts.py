@@ -97,14 +97,12 @@ def term_counts(df: DataFrame, id_col: str, terms: Column, *, max_terms: int = 2
     ``terms`` is an expression for the record's array of terms. Rows that repeat a record identifier
     count once (their content is taken to be equal); a null identifier is a record of its own. Null
     terms and null arrays count nothing, an empty table gives no rows. Only the identifier and the
-    terms are shuffled, then one partial counter a task and term.
+    terms are shuffled, then one partial counter a task and term; records with terms and the same identifier are dropped to one.
     """
-    records = (
-        df.select(F.col(id_col).alias("record"), F.filter(terms, lambda t: t.isNotNull()).alias("terms"))
-        .where(F.size("terms") > 0)
-        .repartition("record")
-        .sortWithinPartitions("record")
-    )
+    rows = df.select(F.col(id_col).alias("record"), F.filter(terms, lambda t: t.isNotNull()).alias("terms")).where(F.size("terms") > 0)
+    # re-deliveries are dropped before the shuffle too, so a record that is delivered very often crowds no task
+    once = rows.withColumn("_own", F.when(F.col("record").isNull(), F.monotonically_increasing_id())).dropDuplicates(["record", "_own"])
+    records = once.drop("_own").sortWithinPartitions("record")
     return (
         records.mapInArrow(_counters(max_terms), PARTIAL)
         .groupBy("term")
