@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Words are the longest runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
-#: Fixed masks over 13 words; any window with at most one substituted word matches at least one of them.
-MASKS = ("1111011110111", "1110111101111", "1011101111011")
+#: Fixed masks over 13 words; a window of which one inner word was substituted still matches one of them.
+MASKS = ("1011011011011", "1101101101101", "1110110110111")
 #: Items that go out at once, at most.
 ITEM_BLOCK = 20_000
 
