@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import ahocorasick
@@ -113,10 +113,23 @@ def unit_counts(texts: Column, df: DataFrame) -> DataFrame:
 
 def rewrites(counts: dict[str, int]) -> dict[str, str]:
     """For each member its class's representative: the most frequent one, then the shortest, then the first in
-    code point order; for what has no width the empty string."""
+    code point order; for what has no width the empty string.
+
+    Members that only differ in composition count together and are represented composed. All ligatures are decided
+    together, as they hold each other: letters, unless the corpus has more ligatures than their letters.
+    """
+    signs = sum(counts.get(s, 0) for s in LIGATURES.values())
+    letters = sum(counts.get(s, 0) for s in LIGATURES)
     out = {}
     for members in lookalike_classes():
-        best = "" if "" in members else min(members, key=lambda m: (-counts.get(m, 0), len(m), m))
+        weight: Counter[str] = Counter()
+        for m in members:
+            weight[unicodedata.normalize("NFC", m)] += counts.get(m, 0)
+        own = [s for s, sign in LIGATURES.items() if sign in members]
+        if own:
+            best = LIGATURES[own[0]] if signs > letters else own[0]
+        else:
+            best = "" if "" in members else min(weight, key=lambda m: (-weight[m], len(m), m))
         out |= {m: best for m in members if m != best}
     return out
 
