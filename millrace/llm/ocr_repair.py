@@ -174,12 +174,16 @@ class LineModel:
 
 @lru_cache(maxsize=200_000)
 def corrections(word: str) -> tuple[str, ...]:
-    """Words that may have been printed: signs that no word holds are always undone, letters at up to two places."""
+    """Words that may have been printed: signs that no word holds are always undone, letters at up to two places.
+
+    What is longer than 40 characters, or has more than six signs, or more signs than letters, is no misread word.
+    """
     done: set[str] = set()
+    signs = sum(not c.isalpha() for c in word)
+    if len(word) > 40 or signs > 6 or 2 * signs > len(word):
+        return ()
 
     def walk(i: int, made: str, letters: int) -> None:
-        if len(done) > 400:
-            return
         if i == len(word):
             done.add(made)
             return
@@ -193,8 +197,7 @@ def corrections(word: str) -> tuple[str, ...]:
         if word[i].isalpha() or word[i] in "-'":
             walk(i + 1, made + word[i], letters)
 
-    if len(word) <= 40:
-        walk(0, "", 0)
+    walk(0, "", 0)
     done.discard(word)
     return tuple(sorted(done))
 
