@@ -71,10 +71,11 @@ def clean_text(c: Column) -> Column:
 def strip_accents(c: Column) -> Column:
     """Latin letters without accents; full-width and other compatibility forms become plain letters and digits."""
     src, dst = fold_map()
-    c = F.translate(c, src, dst)
+    folded = F.translate(c, src, dst)
     for sign, letters in LIGATURES.items():
-        c = F.replace(c, F.lit(sign), F.lit(letters))
-    return F.regexp_replace(c, "[̀-ͯ]", "")
+        folded = F.replace(folded, F.lit(sign), F.lit(letters))
+    # most texts are plain ASCII and stay as they are
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, "[̀-ͯ]", "")).otherwise(c)
 
 
 def tokens(c: Column) -> Column:

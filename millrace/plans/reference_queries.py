@@ -16,7 +16,8 @@ from millrace.operators import graph as G
 from millrace.operators import ranking as K
 from millrace.operators import store as S
 from millrace.plans import sql as Q
-from millrace.session import table
+from millrace.session import spread
+from millrace.session import table as stored
 from millrace.streaming.ingest import ingest_stream
 
 #: The moment that ages are counted from.
@@ -41,6 +42,10 @@ def query(sql: str | None = None):
     return register
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(stored(spark, d, name))
+
+
 def memories(spark: SparkSession, d: str) -> DataFrame:
     """The memories without re-deliveries: of each the row that came first."""
     return S.latest(table(spark, d, "memories"), ["memory_id"], [F.asc("ingested_at")])

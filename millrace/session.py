@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with its rows spread over all cores where its files give work to no more than a quarter of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once an application."""
     sc = spark.sparkContext
