@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,29 +34,59 @@ def sentence_starts(text: str) -> list[int]:
     return [0, *[m.end() for m in SENTENCE.finditer(text) if m.end() < len(text)]]
 
 
-def piece_starts(text: str) -> np.ndarray:
-    """Starts of the pieces. Inside a long sentence: where the hash of the next characters is the least among ``REACH`` places."""
-    starts = np.array(sentence_starts(text))
-    gaps = np.diff(np.append(starts, len(text)))
-    if (gaps <= REACH).all():
-        return starts
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n = len(code) - GRAM + 1
-    if n < REACH:
-        return starts
-    h = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        h = (h ^ code[k : k + n]) * np.uint64(0x100000001B3)
-        h ^= h >> np.uint64(31)
-    h = h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+def piece_starts(texts: list[str]) -> list[np.ndarray]:
+    """Per text the starts of its pieces. Inside a long sentence: where the hash of the next characters is the least among ``REACH`` places.
+
+    All texts are hashed in one go; the least of every stretch of ``REACH`` places comes from running minima within
+    blocks of that length, from the left and from the right.
+    """
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    first = np.cumsum([0, *map(len, texts)])
+    own = [np.array(sentence_starts(t)) + o for t, o in zip(texts, first)]
+    starts = np.concatenate(own)
+    ends = np.append(starts[1:], first[-1])
+    usable = np.minimum(ends, np.repeat(first[1:], [len(x) for x in own]) - GRAM + 1)
+    long = (ends - starts > REACH) & (usable - starts >= REACH)
     found = [starts]
-    for s, g in zip(starts[gaps > REACH], gaps[gaps > REACH]):
-        own = h[s : min(s + g, n)]
-        if len(own) >= REACH:
-            for at in range(0, len(own) - REACH + 1, 16_384):  # long sentences in bounded memory
-                windows = sliding_window_view(own[at : at + 16_384 + REACH - 1], REACH)
-                found.append(np.unique(s + at + np.arange(len(windows)) + windows.argmin(1)))
-    return np.unique(np.concatenate(found))
+    n = len(code) - GRAM + 1
+    if long.any():
+        h = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            h = (h ^ code[k : k + n]) * np.uint64(0x100000001B3)
+            h ^= h >> np.uint64(31)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        place = np.arange(n, dtype=np.uint64)
+        key = np.full(-(-n // REACH) * REACH, np.iinfo(np.uint64).max, np.uint64)
+        key[:n] = h >> np.uint64(32) << np.uint64(32) | place  # of equal hashes the first place
+        blocks = key.reshape(-1, REACH)
+        to_right = np.minimum.accumulate(blocks, 1).ravel()
+        to_left = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, starts[long], 1)
+        np.add.at(change, usable[long] - REACH + 1, -1)
+        i = np.flatnonzero(np.cumsum(change)[:n])
+        least = np.minimum(to_left[i], to_right[i + REACH - 1]) & np.uint64(0xFFFFFFFF)
+        found.append(np.unique(least).astype(starts.dtype))
+    every = np.unique(np.concatenate(found))
+    cuts = np.searchsorted(every, first)
+    return [every[a:b] - o for a, b, o in zip(cuts, cuts[1:], first)]
+
+
+#: Characters that are hashed in one go, about.
+CHUNK = 400_000
+
+
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= CHUNK:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def text_key(data: bytes) -> int:
@@ -67,8 +96,7 @@ def text_key(data: bytes) -> int:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, hashes, places = [], [], []
-        for text in batch.column(0).to_pylist():
-            starts = piece_starts(text)
+        for text, starts in (x for part in chunks(batch.column(0).to_pylist()) for x in zip(part, piece_starts(part))):
             starts = starts[starts <= len(text) - RUN]
             h = [xxhash.xxh3_64_intdigest(text[s : s + RUN].encode()) - (1 << 63) for s in starts]
             keys.append(np.full(len(h), text_key(text.encode())))
