@@ -265,4 +265,10 @@ def test_spans_empty_and_long(spark):
     long = prose(200_000, 9, "xx")
     data = [(1, long, None, None), (2, prose(50, 8) + long[150_000:150_320], None, None)]
     assert rows(SharedSpans(spark.createDataFrame(data, _SPANS)).pairs()) == [(1, 2)]
-    assert (piece_starts("a" * 5_000) < 5_000).all() and SPAN - RUN == 100
+    assert (piece_starts(["a" * 5_000])[0] < 5_000).all() and SPAN - RUN == 100
+
+
+def test_pieces_do_not_depend_on_what_stands_beside():
+    texts = [prose(random.Random(i).randint(1, 900), i, "xx") for i in range(60)] + [""]
+    together = piece_starts(texts)
+    assert all((piece_starts([t])[0] == s).all() for t, s in zip(texts[:-1], together)) and list(together[-1]) in ([], [0])
