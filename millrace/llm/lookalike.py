@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import salted_join
+from millrace.session import materialise, salted_join
 
 # Letters of other scripts that are drawn like a Latin letter.
 LATIN_TWINS = {
@@ -198,7 +198,8 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, table: dict[str,
     are found between distinct texts, so a crowd of copies adds only the pairs that it has to.
     """
     canonical = canonical_udf(table)(F.col(text_col))
-    rows = (
+    # digests, written once, as they are read four times
+    rows = materialise(
         df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("id"), F.md5(text_col).alias("raw"), F.md5(canonical).alias("form"))
         .distinct()
