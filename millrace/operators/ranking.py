@@ -46,7 +46,8 @@ def bm25(docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: st
     """
     asked = questions.select(query_id, F.explode(F.array_distinct(stems(F.col(terms)))).alias("stem"))
     wanted = small(asked.select("stem").distinct())
-    stemmed = docs.select(doc_id, stems(tokens(F.col(text))).alias("_stems")).withColumn("_length", F.size("_stems"))
+    # written once: three passes read it, and stemming costs more than reading
+    stemmed = materialise(docs.select(doc_id, stems(tokens(F.col(text))).alias("_stems"))).withColumn("_length", F.size("_stems"))
     corpus = stemmed.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"))
     postings = stemmed.select(doc_id, "_length", F.explode("_stems").alias("stem")).join(wanted, "stem", "left_semi").groupBy(doc_id, "_length", "stem").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("stem").agg(F.count("*").alias("df"))
