@@ -119,6 +119,22 @@ def test_pii_table(spark):
     assert rows(pii.find_pii(empty, "note_id", "body", pii.learn(empty, "body"))) == []
 
 
+def test_pii_words_of_all_texts(spark):
+    plain = [(i, f"We meet at noon near the plover and we plover on {i}.") for i in range(100)]
+    data = plain + [(1000 + i, t) for i, (t, _) in enumerate(letters(300, 1))] + [(5000, "Ask Plover Meet about it.")]
+    df = spark.createDataFrame(data, "note_id bigint, body string")
+    whole = pii.Detector().fit([t for _, t in data]).lower
+    model = pii.learn(df, "body", sample=10)
+    assert model.lower == whole and {"meet", "plover"} <= set(whole)
+    # too many words to go out with the detector: each text gets its own
+    parted = pii.learn(df, "body", sample=200, word_limit=0)
+    held = pii.learn(df, "body", sample=200)
+    assert held.words is None and parted.words is not None and len(parted.lower) < len(held.lower)
+    want = rows(pii.find_pii(df, "note_id", "body", held))
+    assert want and rows(pii.find_pii(df, "note_id", "body", parted)) == want
+    assert rows(pii.redact(df, "note_id", "body", parted)) == rows(pii.redact(df, "note_id", "body", held))
+
+
 def test_shadow_places():
     text = "a​b ｃе́"
     s, at = pii.shadow(text)
