@@ -78,6 +78,31 @@ def initials_of(token: str) -> set[str]:
     return {token[0], *(f[0] for f in FORMAL.get(token, ()))}
 
 
+@lru_cache(maxsize=100_000)
+def beside_keys(kind: str, token: str) -> tuple[list[str], list[str]]:
+    """The keys by which a word beside the one that tells a name apart asks and answers.
+
+    Words that ``same_name`` takes for the same have a key in common: known given names their formal names, others a
+    phonetic key, a name and its initial that initial, a trade and its short form their first letters. Initials and
+    short forms only meet longer words and their like, so that a letter brings no two full names together.
+    """
+    if len(token) == 1:
+        return [f"<{token}", f".{token}"], [f">{token}", f".{token}"]
+    same = {f"={f}" for f in FORMAL.get(token, ())} if kind == "name" else set()
+    if len(token) >= 5:
+        same |= {f"~{k}" for k in phonetic_keys(token)}
+    same.add(f"={token}")
+    asks, answers = set(same), set(same)
+    if kind == "name":
+        asks |= {f">{c}" for c in initials_of(token)}
+        answers |= {f"<{c}" for c in initials_of(token)}
+    else:
+        short = len(token) <= 4
+        asks |= {f"^{token[:3]}", f">{token[0]}"} | ({f"<{token[0]}"} if short else set())
+        answers |= {f"^{token[:3]}", f"<{token[0]}"} | ({f">{token[0]}"} if short else set())
+    return sorted(asks), sorted(answers)
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0

@@ -1,7 +1,7 @@
 """Variant spellings of people and organisations (problem 4).
 
 Method: names become forms of sorted tokens; the tokens are blocked by phonetic codes; forms that share
-a blocked word and an initial are compared by Jaro-Winkler, one typing error and a nickname table; accepted
+a blocked word and a key of what stands beside it are compared by Jaro-Winkler, one typing error and a nickname table; accepted
 pairs are clustered by connected components. A surname with an initial joins a cluster only where one person
 answers to it.
 """
@@ -17,9 +17,8 @@ from millrace.functions import names
 from millrace.operators.components import connected_components
 from millrace.session import materialise, salted_join
 
-#: A word with more different neighbours than this is a given name or a trade rather than what tells an entity
-#: apart; it blocks only together with the whole code of its neighbour.
-COMMON = 60
+#: The block of a word with more different neighbours than this is spread over this many sub-keys.
+COMMON, SALTS = 60, 8
 
 
 @F.pandas_udf(T.StringType())
@@ -57,22 +56,28 @@ def _partial(a: pd.Series) -> pd.Series:
     return a.map(names.is_partial)
 
 
-_TAGGED = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("word", T.StringType()), T.StructField("letter", T.StringType()), T.StructField("code", T.StringType())]))
+_TAGGED = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "word", "code")] + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("asks", "answers")]))
 
 
 @F.pandas_udf(_TAGGED)
 def _tags(forms: pd.Series) -> pd.Series:
     def one(f: str) -> list[dict]:
         kind, _, rest = f.partition("|")
-        tokens = rest.split(" ")
-        out = {(kind, t, c, names.phonetic(u)) for i, t in enumerate(tokens) if len(t) >= 5 for j, u in enumerate(tokens) if i != j for c in names.initials_of(u)}
-        return [dict(zip(("kind", "word", "letter", "code"), x)) for x in sorted(out)]
+        tokens, out = rest.split(" "), {}
+        for i, t in enumerate(tokens):
+            for j, u in enumerate(tokens):
+                asks, answers = names.beside_keys(kind, u)
+                if len(t) >= 5 and i != j:
+                    # a given name beside a surname tells no one apart: same_name compares by the surname
+                    led = len(tokens) == 2 and t in names.FORMAL and len(u) > 1 and u not in names.FORMAL
+                    out[t, u] = {"kind": kind, "word": t, "code": names.phonetic(u), "asks": [] if led else asks, "answers": answers}
+        return [out[k] for k in sorted(out)]
 
     return forms.map(one)
 
 
 def _tagged(forms: DataFrame) -> DataFrame:
-    """``(form, kind, word, letter, code)``: every word that may tell a form apart, with each neighbour's initial and code."""
+    """``(form, kind, word, code, asks, answers)``: every word that may tell a form apart, with each neighbour's code and keys."""
     return forms.select("form", F.inline(_tags("form")))
 
 
@@ -85,12 +90,13 @@ def word_pairs(known: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _candidates(asked: DataFrame, known: DataFrame, pairs: DataFrame, common: DataFrame) -> DataFrame:
-    """``(asked, known)``: pairs of forms that share a blocked word and fit in what stands beside it."""
-    tag = F.when(F.col("is_common").isNull(), F.col("letter")).otherwise(F.concat(F.lit("="), "code")).alias("tag")
-    k = known.join(common, "word", "left").select(F.col("form").alias("known"), "kind", F.col("word").alias("known_word"), tag).distinct()
+    """``(asked, known)``: pairs of forms that share a blocked word and a key of what stands beside it; the blocks of common words are salted."""
+    hot = F.col("is_common").isNotNull()
+    k = known.join(common, "word", "left").select(F.col("form").alias("known"), "kind", F.col("word").alias("known_word"), F.explode("answers").alias("tag"), hot.alias("hot")).distinct()
+    k = k.select("known", "kind", "known_word", "tag", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     a = asked.join(pairs, asked["word"] == pairs["asked"]).join(common.withColumnRenamed("word", "known"), "known", "left")
-    a = a.select(F.col("form").alias("asked"), "kind", F.col("known").alias("known_word"), tag).distinct()
-    return a.join(k, ["kind", "known_word", "tag"]).select("asked", "known").distinct()
+    a = a.select(F.col("form").alias("asked"), "kind", F.col("known").alias("known_word"), F.explode("asks").alias("tag"), F.when(hot, F.pmod(F.xxhash64("form"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")).distinct()
+    return a.join(k, ["kind", "known_word", "tag", "salt"]).select("asked", "known").distinct()
 
 
 def label_clusters(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

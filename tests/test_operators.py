@@ -121,6 +121,18 @@ def test_variant_links(spark):
     assert got == want  # an initial that two people answer to links nothing
 
 
+def test_variant_links_of_a_surname_of_many(spark):
+    sounds = "bdklmr"  # one of each class; any two of these given names differ in two
+    others = [f"{sounds[i]}o{sounds[j]}e{sounds[k]}a{sounds[(i + j + k) % 6]}i Dutalozile" for i in range(5) for j in range(6) for k in range(3)]
+    person = ["Rebecca Dutalozile", "Bex Dutalozile", "R. Dutalozile"]
+    firms = ["Dutalozile Plumbing", "Dutalozile Plmb"]
+    data = [(i, [("name", x)], "c") for i, x in enumerate(others + person)] + [(900 + i, [("org", x)], "c") for i, x in enumerate(firms)]
+    notes = spark.createDataFrame([(1, "Chat with Becky Dutalozile", "f"), (2, "Chat with R. Dutalozile", "f")], _N)
+    got = {tuple(r) for r in variant_links(spark.createDataFrame(data, _M), notes).collect()}
+    keys = sorted(f"label:{x}" for x in person)
+    assert got == {(a, b) for a in keys for b in keys if a < b} | {(a, f"note:{n}") for a in keys for n in (1, 2)} | {tuple(sorted(f"label:{x}" for x in firms))}
+
+
 def test_variant_links_empty(spark):
     assert rows(variant_links(spark.createDataFrame([], _M), spark.createDataFrame([], _N))) == []
 
