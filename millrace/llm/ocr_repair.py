@@ -27,6 +27,8 @@ from millrace.session import materialise
 SAMPLE = 1_500
 #: Misread words that go out at once, at most; more go out in several passes.
 WORD_BLOCK = 300_000
+#: A word is known if texts that no scanner read have it twice, and once in so many of them.
+KNOWN_IN = 5_000
 STATES = ("header", "page_number", "body", "break")
 
 # What a scanner reads (left) for what is printed (right).
@@ -219,27 +221,42 @@ def lexicon(bodies: DataFrame, body: str, clean: Column) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"), F.sum("clean").alias("clean"))
 
 
+#: Signs of READINGS at a token's end: the word may go on in them, so the letters between are no word by themselves.
+_SIGNS = "".join(sorted({c for k in READINGS for c in k if not c.isalpha()}))
+SIGN_AT_EDGE = rf"^[{re.escape(_SIGNS)}]|[{re.escape(_SIGNS)}]$"
+
+
+def _trimmed(token: str) -> Column:
+    return F.lower(F.regexp_replace(token, f"^[{EDGE}]+|[{EDGE}]+$", ""))
+
+
+def signed_tokens(bodies: DataFrame, body: str) -> DataFrame:
+    """``(word, whole)``: how often each token with a sign at its end stands in texts that no scanner read."""
+    tokens = bodies.select(F.explode(F.split(body, r"\s+")).alias("t")).select(_trimmed("t").alias("word"))
+    return tokens.where(F.length("word").between(2, 40) & F.col("word").rlike(SIGN_AT_EDGE) & F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count("*").alias("whole"))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _corrections(words: pd.Series) -> pd.Series:
     return words.map(lambda w: list(corrections(w)))
 
 
-def misread_words(scans: DataFrame, body: str, words: DataFrame) -> DataFrame:
+def misread_words(scans: DataFrame, body: str, words: DataFrame, signed: DataFrame, least: float = 2) -> DataFrame:
     """``(word, correction)`` for every distinct word of the scans that is taken for misread.
 
-    Words broken across lines are looked up whole. A word stays as it is if a text that no scanner read has it
-    twice, or if no correction is at least three times as frequent and four times as frequent as the word itself.
+    Words broken across lines are looked up whole. A word stays as it is if texts that no scanner read have it
+    ``least`` times (with a sign at its end the whole token, from ``signed``), or if no correction is at least three times as frequent and four times as frequent as the word itself.
     """
     marks = f"[{BREAKS}]"
     joined = F.transform(F.regexp_extract_all(body, F.lit(rf"\S+{marks}[ \t]*\n+[ \t]*\S+"), F.lit(0)), lambda x: F.regexp_replace(x, rf"{marks}[ \t]*\n+[ \t]*", ""))
     tokens = F.concat(F.split(body, r"\s+"), joined)
-    trimmed = F.lower(F.regexp_replace("t", f"^[{EDGE}]+|[{EDGE}]+$", ""))
-    seen = scans.select(F.explode(tokens).alias("t")).select(trimmed.alias("word")).where(F.length("word").between(2, 40)).groupBy("word").agg(F.count("*").alias("seen"))
+    seen = scans.select(F.explode(tokens).alias("t")).select(_trimmed("t").alias("word")).where(F.length("word").between(2, 40)).groupBy("word").agg(F.count("*").alias("seen"))
     seen = seen.where(F.col("word").rlike(r"\p{L}"))
     core = F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "")
     own = seen.join(words.withColumnsRenamed({"word": "core", "n": "own"}), core == F.col("core"), "left")
-    own = own.select("word", F.greatest("seen", F.when(F.length("core") == F.length("word"), F.col("own")).otherwise(0)).alias("own"), F.coalesce("clean", F.lit(0)).alias("known"))
-    asked = own.where("known < 2").select("word", "own", F.explode(_corrections("word")).alias("correction"))
+    own = own.select("word", F.greatest("seen", F.when(F.length("core") == F.length("word"), F.col("own")).otherwise(0)).alias("own"), F.coalesce("clean", F.lit(0)).alias("clean"))
+    known = F.when(F.col("word").rlike(SIGN_AT_EDGE), F.coalesce("whole", F.lit(0))).otherwise(F.col("clean"))
+    asked = own.join(signed, "word", "left").where(known < least).select("word", "own", F.explode(_corrections("word")).alias("correction"))
     found = asked.join(words.select(F.col("word").alias("correction"), "n"), "correction").where((F.col("n") >= 3) & (F.col("n") >= 4 * F.col("own")))
     return found.groupBy("word").agg(F.max_by("correction", F.struct("n", "correction")).alias("correction"))
 
@@ -322,7 +339,13 @@ class ScannedPages:
         self.memories = memories
         rows = memories.where(is_scan & F.col("body").isNotNull() & F.col("memory_id").isNotNull())
         self.scans = rows.select("memory_id", "album", F.regexp_extract("name", r"(\d+)\D*$", 1).try_cast("int").alias("sheet"), "title", "body")
-        self.words = materialise(lexicon(memories.where("body IS NOT NULL"), "body", ~F.coalesce(is_scan, F.lit(False))))
+        bodies, clean = memories.where("body IS NOT NULL"), ~F.coalesce(is_scan, F.lit(False))
+        self.words = materialise(lexicon(bodies, "body", clean))
+        self.clean = bodies.where(clean)
+
+    def misread(self, pages: DataFrame) -> DataFrame:
+        """``(word, correction)`` of the pages' misread words."""
+        return misread_words(pages, "body", self.words, signed_tokens(self.clean, "body"), max(2, self.clean.count() / KNOWN_IN))
 
     def pages(self) -> DataFrame:
         """The scans with the levelled lines that also stand at the edge of another record of the album; once each."""
@@ -342,7 +365,7 @@ class ScannedPages:
         spark = self.memories.sparkSession
         pages = materialise(self.pages())
         model = self.model(pages)
-        wrong = materialise(misread_words(pages, "body", self.words))
+        wrong = materialise(self.misread(pages))
         blocks = max(1, -(-wrong.count() // WORD_BLOCK))
         marks = None
         for b in range(blocks):
@@ -366,7 +389,7 @@ class ScannedPages:
         spark = self.memories.sparkSession
         pages = materialise(self.pages())
         model = self.model(pages)
-        wrong = materialise(misread_words(pages, "body", self.words))
+        wrong = materialise(self.misread(pages))
         compounds = self.words.where(F.col("word").contains("-") & (F.col("clean") > 0)).select("word")
         # corrections that occur in a page travel with it, so nothing unbounded is broadcast
         tokens = pages.select("memory_id", F.explode(F.array_distinct(F.transform(F.split("body", r"\s+"), lambda t: F.lower(F.regexp_replace(t, f"^[{EDGE}]+|[{EDGE}]+$", ""))))).alias("word"))

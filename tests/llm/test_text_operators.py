@@ -67,6 +67,22 @@ def test_scanned_defects_and_paragraphs(spark):
     assert not [r for r in pages.defects().collect() if r[0] == 23]
 
 
+def test_words_misread_at_their_ends(spark):
+    clean = [(100 + i, "x", f"note{i}", None, "keeps the wall of soil keep wa so keep wa so f (at cat that find th f keep!\n" * 6, None, None) for i in range(5)]
+    data = [scan(1, "Page about keep5 here\nand (at the wa11\n0f so!| again\nnow th@+ is keep!")]
+    pages = ocr_repair.ScannedPages(spark.createDataFrame(data + clean, _SCANS), F.col("name").startswith("scan-"))
+    want = {"keep5": "keeps", "wa11": "wall", "0f": "of", "so!|": "soil", "th@+": "that"}
+    assert {r["word"]: r["correction"] for r in pages.misread(pages.pages()).collect()} == want
+    assert {r["line_no"] for r in pages.defects().where("defect = 'misread'").collect()} == {1, 2, 3, 4}
+
+
+def test_known_words_are_a_share_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(ocr_repair, "KNOWN_IN", 10)
+    clean = [(100 + i, "x", f"note{i}", None, "the modem lantern" + " modern" * 4 + " lantem" * (i < 3), None, None) for i in range(100)]
+    pages = ocr_repair.ScannedPages(spark.createDataFrame([scan(1, "A lantem and a modem")] + clean, _SCANS), F.col("name").startswith("scan-"))
+    assert {r["word"]: r["correction"] for r in pages.misread(pages.pages()).collect()} == {"lantem": "lantern"}
+
+
 def test_scanned_empty(spark):
     pages = ocr_repair.ScannedPages(spark.createDataFrame([], _SCANS), F.col("name").startswith("scan-"))
     assert rows(pages.defects()) == [] and rows(pages.paragraphs()) == []
