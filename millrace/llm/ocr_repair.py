@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.names import jaro_winkler
+from millrace.llm.names import jaro_winkler
 from millrace.session import materialise
 
 #: Records the line model is fitted on, at most.

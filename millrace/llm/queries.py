@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, lookalike, pii
+from millrace.llm import data_queries, leakage, lookalike, pii
 from millrace.llm.mixing import Mixer
 from millrace.llm.ocr_repair import ScannedPages
 from millrace.llm.shared_spans import SharedSpans
@@ -57,7 +57,6 @@ def _looks_sql(col: str) -> str:
 _LOOKS_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS source_table, {key} AS row_id, {text} AS raw, {_looks_sql(text)} AS canonical FROM {name}" for name, key, text in _LOOKS)
 
 
-
 def _scanned(spark: SparkSession, sf_dir: str) -> ScannedPages:
     return ScannedPages(table(spark, sf_dir, "memories"), F.col("name").startswith("scan-") | F.col("album").startswith("Scan "))
 
@@ -141,8 +140,8 @@ _SPANS_SQL = """
   s AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h
         FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
-SQL = {
+QUERIES = data_queries.QUERIES | {"p1_found": p1_found, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
+SQL = data_queries.SQL | {
     "p7_found": f"WITH {_GRAMS_SQL.format(name='d', key='doc_id', words=_WORDS_SQL.format('text'), table='documents')}, {_GRAMS_SQL.format(name='e', key='item_id', words=_WORDS_SQL.format('passage'), table='eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     "p9_found": f"WITH {_SPANS_SQL} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
     "p9_shares": f"""WITH {_SPANS_SQL},

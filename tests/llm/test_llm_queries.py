@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 
 import duckdb
@@ -7,7 +8,7 @@ import __spark_entry__ as entry
 from verify_sql import rows
 
 SF = "/root/testdata/sf0.001"
-OWN = {n: f for n, f in entry.queries().items() if n.startswith(("p1_", "p5_", "p6_", "p7_", "p8_", "p9_"))}
+OWN = {n: f for n, f in entry.queries().items() if re.match(r"p\d_", n)}
 
 
 @pytest.mark.parametrize("name", sorted(OWN))
