@@ -28,9 +28,12 @@ class KnnParams:
     """``sample``: vectors the centroids are fitted on, at most. ``list_size``: vectors a list aims at.
     ``replicas``, ``replica_ratio``: lists a vector is posted to, and how much farther than the nearest
     they may be. ``probes``, ``probe_ratio``: the same for the lists a query reads. ``block``: vectors of
-    a list compared in one task; longer lists are compared block against block."""
+    a list compared in one task; longer lists are compared block against block. ``split``: how many times
+    ``list_size`` a list may hold before it gets lists inside it; ``inner_sample``: vectors these are fitted on, about."""
 
     sample: int = 65_536
+    split: int = 8
+    inner_sample: int = 4_096
     list_size: int = 300
     replicas: int = 4
     replica_ratio: float = 1.35
@@ -146,34 +149,90 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-ASSIGNED = "list int, part int, block int, vid bigint, ids array<bigint>, vec array<double>, posted boolean, asks boolean"
+KEYS = ["list", "sub"]
+ASSIGNED = "list int, sub int, vid bigint, ids array<bigint>, vec array<double>, posted boolean, asks boolean"
 
 
-def _assign(index, parts: int, p: KnnParams):
+def _assigned(rows: pa.RecordBatch | pa.Table, i: np.ndarray, lists: np.ndarray, subs: np.ndarray, posted: np.ndarray, asks: np.ndarray) -> list[pa.Array]:
+    """The columns of ``ASSIGNED`` for the rows ``i`` of ``rows``."""
+    own = [rows.column(c).take(pa.array(i)) for c in ("vid", "ids", "vec")]
+    return [pa.array(lists, pa.int32()), pa.array(subs, pa.int32()), *own, pa.array(posted), pa.array(asks)]
+
+
+def _assign(index, p: KnnParams):
+    """Posts every vector to its lists and names those it searches; each length of vectors has lists of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, graph = index.value
+        index_of = index.value
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                rows = batch.slice(at, 2048)
-                vec = _vectors(rows.column("vec"))
-                ids, post, search = choose_lists(_unit(vec), c, graph, p)
+            lengths = batch.column("vec").value_lengths().to_numpy()
+            for size in np.unique(lengths):
+                mine = batch.take(pa.array(np.flatnonzero(lengths == size)))
+                first, c, graph = index_of[int(size)]
+                for at in range(0, len(mine), 2048):
+                    rows = mine.slice(at, 2048)
+                    ids, post, search = choose_lists(_unit(_vectors(rows.column("vec"))), c, graph, p)
+                    i, j = np.nonzero(post | search)
+                    yield pa.RecordBatch.from_arrays(_assigned(rows, i, first + ids[i, j], np.zeros(len(i), int), post[i, j], search[i, j]), names=[*KEYS, "vid", "ids", "vec", "posted", "asks"])
+
+    return run
+
+
+def _fit_second(p: KnnParams):
+    """Centroids inside one list, from a bounded sample of its postings."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = _unit(_vectors(rows.column("vec")))
+        size = rows.column("size")[0].as_py()
+        rng = np.random.default_rng(p.seed)
+        c = balanced_centroids(x, max(1, min(round(size / p.list_size), len(x) // 8)), rng)
+        return pa.table({"list": pa.array(np.full(len(c), rows.column("list")[0].as_py()), pa.int32()), "centre": pa.array(list(c), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _assign_second(p: KnnParams):
+    """Shares the rows of one list out to the lists inside it; a group is a bounded part of the list's rows."""
+
+    def run(rows: pa.Table, centres: pa.Table) -> pa.Table:
+        out = []
+        if len(rows):
+            c = _vectors(centres.column("centre"))
+            graph = neighbour_graph(c, p.degree, np.random.default_rng(p.seed))
+            posted, asks = (rows.column(x).to_numpy() for x in ("posted", "asks"))
+            first = rows.column("list")[0].as_py()
+            for at in range(0, len(rows), 2048):
+                part = rows.slice(at, 2048).combine_chunks()
+                ids, post, search = choose_lists(_unit(_vectors(part.column("vec"))), c, graph, p)
+                post, search = post & posted[at : at + 2048, None], search & asks[at : at + 2048, None]
                 i, j = np.nonzero(post | search)
-                own = rows.column("vid").to_numpy()[i] % parts
-                lists, post, search = ids[i, j], post[i, j], search[i, j]
-                # as a query a row meets every block of postings, as a posting every part of queries
-                cells = [(a, b) for a in range(parts) for b in range(parts)]
-                for part, block in cells:
-                    asks, posted = search & (own == part), post & (own == block)
-                    take = np.nonzero(asks | posted)[0]
-                    out = rows.take(pa.array(i[take]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(lists[take], pa.int32()), pa.array(np.full(len(take), part), pa.int32()), pa.array(np.full(len(take), block), pa.int32()), out.column("vid"), out.column("ids"), out.column("vec"), pa.array(posted[take]), pa.array(asks[take])],
-                        names=["list", "part", "block", "vid", "ids", "vec", "posted", "asks"],
-                    )
+                out.append(pa.table(_assigned(part, i, np.full(len(i), first), 1 + ids[i, j], post[i, j], search[i, j]), names=[*KEYS, "vid", "ids", "vec", "posted", "asks"]))
+        return pa.concat_tables(out) if out else rows.select([*KEYS, "vid", "ids", "vec", "posted", "asks"])
 
     return run
 
 
+def _within_lists(assigned: DataFrame, sizes: DataFrame, p: KnnParams) -> DataFrame:
+    """``assigned`` with the rows of every list that holds far more than its share shared out to lists inside it.
+
+    The centroids of the first level are bounded by the sample, so beyond ``sample / 8`` lists' worth of vectors each list
+    gets a second level, fitted on at most ``inner_sample`` of its own postings; so the number of lists grows with the vectors.
+    """
+    large = sizes.where(F.col("size") > p.split * p.list_size).select("list", "size")
+    if not large.limit(1).count():
+        return assigned
+    every = F.greatest(F.lit(1), F.floor(F.col("size") / p.inner_sample))
+    marked = materialise(assigned.join(large, "list", "left"))
+    sample = marked.where("size IS NOT NULL AND posted").where(F.pmod(F.xxhash64("vid", F.lit(p.seed)), every) == 0)
+    fitted = sample.groupBy("list").applyInArrow(_fit_second(p), "list int, centre array<double>")
+    # a list's rows meet its centroids in parts of about ``block`` rows
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / p.block)).cast("int")
+    centres = fitted.join(large, "list").select("list", "centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    split = marked.where("size IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("vid"), parts).cast("int"))
+    second = split.groupBy("list", "part").cogroup(centres.groupBy("list", "part")).applyInArrow(_assign_second(p), ASSIGNED)
+    return marked.where("size IS NULL").drop("size").unionByName(second)
+
+
 def _search(k: int):
     def run(rows: pa.Table) -> pa.Table:
         vec = _unit(_vectors(rows.column("vec")))
@@ -216,16 +275,33 @@ def _search(k: int):
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``(id, vec)``, a row a distinct id: vectors that are neither null, empty nor all zero and hold no null or NaN.
 
-    Vectors of another length than the longest take no part, as no cosine is defined between lengths.
+    Vectors of different lengths are different collections, as no cosine is defined between lengths.
     """
     v = F.col("vec")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x))
-    rows = (
+    return (
         df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         .where(F.col("id").isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0))
         .dropDuplicates(["id"])
     )
-    return rows
+
+
+def _index(reps: DataFrame, p: KnnParams) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of vectors the number of its first list, its centroids and their graph.
+
+    One row a length reaches the driver, and of lengths with more vectors than a list aims at a bounded sample.
+    """
+    out, first = {}, 0
+    rng = np.random.default_rng(p.seed)
+    for size, n in sorted(reps.groupBy(F.size("vec").alias("size")).count().collect()):
+        lists, c = round(n / p.list_size), np.full((1, size), 1 / math.sqrt(size))
+        if lists > 1:
+            drawn = F.pmod(F.xxhash64("vid"), F.lit(max(1, n // p.sample))) == 0
+            x = _unit(_vectors(reps.where((F.size("vec") == size) & drawn).select("vec").limit(p.sample).toArrow().column("vec")))
+            c = balanced_centroids(x, max(1, min(lists, len(x) // 8)), rng)
+        out[size] = (first, c, neighbour_graph(c, p.degree, rng))
+        first += len(c)
+    return out
 
 
 def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, params: KnnParams | None = None) -> DataFrame:
@@ -234,31 +310,31 @@ def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, params
     Similarity is the cosine in double precision, rounded to 6 decimals; ties go to the smaller id.
     Rows that repeat an id count once; unusable vectors (see :func:`usable_vectors`) neither ask nor
     answer; with fewer than ``k`` others, all of them are returned. Extra columns are ignored. The search is
-    approximate across lists and exact within them; with one list it is exact.
+    approximate across lists and exact within them; with one list it is exact. Each length of vectors is searched
+    by itself.
     """
     p = params or KnnParams()
     spark = df.sparkSession
     members = usable_vectors(df, id_col, vec_col)
-    dims = members.agg(F.max(F.size("vec"))).first()[0]
-    members = members.where(F.size("vec") == F.lit(dims or 0))
     first = Window.partitionBy("vec").orderBy("id")
     reps = materialise(
         members.withColumn("_n", F.row_number().over(first)).where(f"_n <= {k + 1}")  # limited before the shuffle
         .groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
         .select(F.col("ids")[0].alias("vid"), "ids", "vec")
     )
-    n = reps.count()
-    every = max(1, n // p.sample)
-    sample = reps.where(F.pmod(F.xxhash64("vid"), F.lit(every)) == 0).select("vec").limit(p.sample).toArrow()
-    rng = np.random.default_rng(p.seed)
-    x = _unit(_vectors(sample.column("vec"))) if len(sample) else np.ones((1, 1))
-    lists = max(1, min(round(n / p.list_size), len(x) // 8))
-    c = balanced_centroids(x, lists, rng)
-    index = spark.sparkContext.broadcast((c, neighbour_graph(c, p.degree, rng)))  # at most sample / 8 centroids
-    parts = max(1, math.ceil(n / len(c) / p.block))
+    index = spark.sparkContext.broadcast(_index(reps, p))  # at most sample / 8 centroids a length
+    assigned = materialise(reps.mapInArrow(_assign(index, p), ASSIGNED))
+    counted = lambda rows: rows.where("posted").groupBy(*KEYS).agg(F.count("*").alias("size"))
+    listed = _within_lists(assigned, counted(assigned), p)
+    # lists longer than a block are compared block against block: as a query a row meets every block of postings, as a posting every part of queries
+    hot = counted(listed).where(F.col("size") > p.block).select(*KEYS, F.ceil(F.col("size") / p.block).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    sized = listed.join(hot, KEYS, "left").withColumn("own", F.pmod(F.xxhash64("vid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = sized.select("*", F.explode(F.array_distinct(F.array(F.struct(F.col("own").alias("part"), F.col("other").alias("block")), F.struct(F.col("other").alias("part"), F.col("own").alias("block"))))).alias("cell"))
+    cells = cells.select(*KEYS, "cell.part", "cell.block", "vid", "ids", "vec", (F.col("posted") & (F.col("cell.block") == F.col("own"))).alias("posted"), (F.col("asks") & (F.col("cell.part") == F.col("own"))).alias("asks"))
     found = (
-        reps.mapInArrow(_assign(index, parts, p), ASSIGNED)
-        .groupBy("list", "part", "block")
+        cells.where("posted OR asks")
+        .groupBy(*KEYS, "part", "block")
         .applyInArrow(_search(k), "vid bigint, top array<struct<s: int, id: bigint>>")
         .groupBy("vid")
         .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top")))), 1, k + 1).alias("top"))

@@ -48,6 +48,26 @@ def test_nearest_vectors_in_many_lists_and_blocks(spark):
     assert len(got) == len(want)
 
 
+def test_nearest_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    by_length = {n: {1000 * n + i: rng.normal(size=n).round(3).tolist() for i in range(m)} for n, m in ((3, 500), (4, 30), (7, 1))}
+    df = vector_table(spark, [(i, v, None, None, None) for vs in by_length.values() for i, v in vs.items()])
+    got = {(r["id"], r["neighbour"]) for r in nearest_vectors(df, "memory_id", "v", 5, KnnParams(list_size=100)).collect()}
+    want = set().union(*(brute(vs, 5) for vs in by_length.values()))
+    assert len(got & want) / len(want) > 0.98 and len(got) == len(want)
+
+
+def test_nearest_vectors_in_lists_within_lists(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 6))
+    vectors = {i: (centres[0 if i % 3 == 0 else i % 6] + 0.4 * rng.normal(size=6)).round(3).tolist() for i in range(3000)}
+    df = vector_table(spark, [(i, v, None, None, None) for i, v in vectors.items()])
+    params = KnnParams(sample=64, list_size=40, split=4, inner_sample=300, block=50)
+    got = {(r["id"], r["neighbour"]) for r in nearest_vectors(df, "memory_id", "v", 5, params).collect()}
+    want = brute(vectors, 5)
+    assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
+
+
 def test_nearest_vectors_empty_and_few(spark):
     assert rows(similar_pairs(vector_table(spark, []), "memory_id", "v")) == []
     assert rows(similar_pairs(vector_table(spark, [(1, [1.0], "", 1, "")]), "memory_id", "v")) == []
