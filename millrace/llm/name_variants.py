@@ -1,7 +1,7 @@
 """Variant spellings of people and organisations (problem 4).
 
 Method: names become forms of sorted tokens; the tokens are blocked by phonetic codes; forms that share
-a blocked word and a key of what stands beside it are compared by Jaro-Winkler, one typing error and a nickname table; accepted
+a blocked word and a key of what stands beside it are compared by Jaro-Winkler and by nicknames, from a table and by rule; accepted
 pairs are clustered by connected components. A surname with an initial joins a cluster only where one person
 answers to it.
 """
@@ -26,9 +26,12 @@ def _form(kinds: pd.Series, labels: pd.Series) -> pd.Series:
     return pd.Series([names.form(k, names.plain_tokens(t)) if t else None for k, t in zip(kinds, labels)])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _windows(titles: pd.Series) -> pd.Series:
-    return titles.map(names.windows)
+def _windows(most: int):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def forms(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: names.windows(t, most))
+
+    return forms
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -64,10 +67,11 @@ def _tags(forms: pd.Series) -> pd.Series:
     def one(f: str) -> list[dict]:
         kind, _, rest = f.partition("|")
         tokens, out = rest.split(" "), {}
+        tell = set(names.telling(tokens))
         for i, t in enumerate(tokens):
             for j, u in enumerate(tokens):
                 asks, answers = names.beside_keys(kind, u)
-                if len(t) >= 5 and i != j:
+                if t in tell and i != j:
                     # a given name beside a surname tells no one apart: same_name compares by the surname
                     led = len(tokens) == 2 and t in names.FORMAL and len(u) > 1 and u not in names.FORMAL
                     out[t, u] = {"kind": kind, "word": t, "code": names.phonetic(u), "asks": [] if led else asks, "answers": answers}
@@ -82,10 +86,10 @@ def _tagged(forms: DataFrame) -> DataFrame:
 
 
 def word_pairs(known: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(asked, known)``: words equal or one typing error apart; both inputs are distinct ``word`` columns."""
+    """``(asked, known)``: words equal or close; both inputs are distinct ``word`` columns."""
     k = known.select(F.col("word").alias("known"), F.explode(_keys("word")).alias("key"))
     a = asked.select(F.col("word").alias("asked"), F.explode(_keys("word")).alias("key"))
-    near = a.join(k, "key").where(F.abs(F.length("asked") - F.length("known")) <= 1).select("asked", "known").distinct()
+    near = a.join(k, "key").where(F.abs(F.length("asked") - F.length("known")) <= 2).select("asked", "known").distinct()
     return near.where(_same_word("asked", "known"))
 
 
@@ -125,7 +129,8 @@ def label_clusters(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def title_clusters(titles: DataFrame, clusters: DataFrame, common: DataFrame) -> DataFrame:
     """``(title, cluster)``: the clusters that distinct titles name. An initial that fits several people names none."""
-    cut = titles.select("title", F.explode(_windows("title")).alias("form"))
+    most = clusters.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 0  # no label has more words
+    cut = titles.select("title", F.explode(_windows(most + 1)("title")).alias("form"))
     tagged = _tagged(cut.select("form").distinct())
     tagged = materialise(tagged)
     known = materialise(_tagged(clusters.select("form")))
@@ -141,7 +146,8 @@ def variant_links(memories: DataFrame, notes: DataFrame) -> DataFrame:
     """``(left_key, right_key)``: labels of one person or organisation, and labels with the notes whose titles name it.
 
     Null entities, labels and titles name nothing; equal labels and equal titles are compared once; rows that
-    repeat a note_id count once; names of a single word link nothing. Titles are expanded to notes at the very end, spread
+    repeat a note_id count once; names of a single word link nothing; a title's runs of words are compared up to the length of
+    the longest label. Titles are expanded to notes at the very end, spread
     over tasks, as one person may be named by a large part of the notes.
     """
     labels = (
@@ -152,9 +158,9 @@ def variant_links(memories: DataFrame, notes: DataFrame) -> DataFrame:
     clusters, formed, common = label_clusters(labels)
     member = materialise(formed.join(clusters, "form").select("cluster", F.concat(F.lit("label:"), "label").alias("key")).distinct())
     twin = member.withColumnRenamed("key", "other")
-    between = member.join(twin, "cluster").where("key < other").select(F.col("key").alias("left_key"), F.col("other").alias("right_key"))
+    between = salted_join(member, twin, ["cluster"]).where("key < other").select(F.col("key").alias("left_key"), F.col("other").alias("right_key"))
     titled = notes.where(F.col("title").isNotNull() & F.col("note_id").isNotNull()).select("note_id", "title").distinct()
     named = title_clusters(titled.select("title").distinct(), clusters, common)
-    per_title = named.join(member, "cluster").select("title", "key").distinct()
+    per_title = salted_join(named, member, ["cluster"]).select("title", "key").distinct()
     across = salted_join(titled, per_title, ["title"]).select(F.col("key").alias("left_key"), F.concat(F.lit("note:"), "note_id").alias("right_key"))
     return between.unionByName(across).distinct()

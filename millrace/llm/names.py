@@ -6,23 +6,25 @@ import re
 import unicodedata
 from functools import lru_cache
 
-# Short and pet forms of given names.
+# Short and pet forms of given names that no rule below gives.
 NICKNAMES = {
-    "abigail": "abby abbie gail", "alexander": "alex sandro sandy xander lex sasha", "augustine": "gus augie austin",
-    "bartholomew": "bart barty bartie", "benjamin": "ben benji benny benjie", "catherine": "cathy cate cath kate katie kitty",
-    "christopher": "chris kit topher", "cornelius": "cor neels corrie neil", "daniella": "dani ella danni", "desmond": "des dez desi",
-    "elizabeth": "liz beth lizzie betty eliza libby", "emmanuel": "manny manu", "frederick": "fred freddie freddy",
-    "gabriella": "gabi ella gaby gabby", "harriet": "hattie harry", "ignatius": "iggy natie ignaz nate", "isabella": "bella izzy isa belle",
-    "jacqueline": "jackie jacqui", "johannes": "hannes johan jan", "jonathan": "jon jono jonny nathan", "katharina": "kat rina kathi katja",
-    "kgomotso": "kgomi motso", "leonardo": "leo nardo lenny", "lindiwe": "lindi", "ludovica": "ludo vica", "margaret": "peggy maggie meg marge rita",
-    "matthias": "matt matty thias", "mohammed": "moe mo hammed", "natalia": "nat talia natty", "nomvula": "vula nomi", "octavia": "tavi tavia",
-    "olufemi": "femi olu", "patricia": "pat patty trish tricia trisha", "penelope": "penny nell pen", "priyanka": "priya pri", "quentin": "quin quint",
-    "rebecca": "bex becky becca", "rosalind": "roz rosa linda rose", "samantha": "sam sammie sammy mantha", "sibusiso": "sbu busi", "thandeka": "thandi thandie deka",
-    "theodora": "dora thea theo", "tobias": "toby tobie", "ursula": "ulla uschi", "veronica": "vera ronnie ronni", "vincent": "vince vinny vin",
-    "wilhelmina": "willa mina wilma minnie", "winifred": "win freda winnie", "yolanda": "yoli landa yola", "zacharias": "zach zack zac harry",
-    "william": "will bill billy liam", "robert": "rob bob bobby", "richard": "rick dick rich", "michael": "mike mick", "thomas": "tom tommy",
-    "james": "jim jimmy jamie", "anthony": "tony ant", "charles": "charlie chuck", "edward": "ed ted eddie", "joseph": "joe joey",
-    "susan": "sue susie", "deborah": "deb debbie", "jennifer": "jen jenny", "stephen": "steve", "andrew": "andy drew", "gregory": "greg",
+    "abigail": "gail abby abbie", "adelaide": "heidi", "agnes": "nessie", "albert": "bert bertie", "alexander": "alec sandy sasha xander lex", "alexandra": "sandra sandy sasha lexi", "alfred": "fred freddie",
+    "alice": "allie", "amelia": "millie emmy", "andrew": "drew", "angela": "angie", "ann": "nan nancy annie", "anthony": "tony ant", "archibald": "archie", "arthur": "art", "augustine": "gus augie austin", "barbara": "babs",
+    "barnabas": "barney", "bartholomew": "bat", "beatrice": "bea trixie", "benjamin": "benji benny", "bridget": "biddy bridie", "cameron": "cam", "caroline": "caro carrie lina", "catherine": "kate katie kathy kitty kit cathy kath",
+    "charles": "chuck chip charlie", "charlotte": "lottie charlie", "christina": "tina chris", "christine": "tina chris", "christopher": "kit topher kris", "clarence": "larry", "cornelius": "neil neels cor corrie", "cynthia": "cindy", "daniel": "dan danny",
+    "daniella": "dani danni", "david": "dave", "deborah": "deb debbie", "dennis": "denny", "desmond": "dez des", "dominic": "nick", "donald": "don", "dorothy": "dot dottie dolly", "edmund": "ed ted eddie", "edward": "ed ted teddy ned eddie",
+    "edwin": "ed eddie", "eleanor": "nell nellie nora ellie", "elizabeth": "betty betsy bess liz lizzie libby eliza lisa", "ellen": "nell", "emily": "em millie", "emmanuel": "manny", "ernest": "ernie", "eugene": "gene",
+    "evelyn": "evie", "florence": "flo flossie", "frances": "fran fanny frankie", "francis": "frank", "franklin": "frank", "frederick": "fred freddie fritz", "gabriella": "gabi gaby", "geoffrey": "jeff", "george": "geordie", "gerald": "gerry jerry",
+    "gertrude": "trudy", "gilbert": "gil bert", "gregory": "greg", "harold": "hal harry", "harriet": "hattie harry", "harrison": "harry", "helen": "nell", "henrietta": "hettie etta", "henry": "harry hank hal", "herbert": "herb bert",
+    "hubert": "bert", "ignatius": "iggy nate natie ignaz", "isaac": "ike zak", "isabella": "izzy", "jacob": "jake coby", "jacqueline": "jackie jacqui", "james": "jim jimmy jamie", "jane": "janie", "janet": "jan", "jeffrey": "jeff", "jeremiah": "jerry", "jeremy": "jerry",
+    "jessica": "jess jessie", "joan": "joanie", "johannes": "hans jan johan hannes", "john": "jack johnny", "jonathan": "jon jonny nathan", "joseph": "joe joey jo", "josephine": "josie jo", "joshua": "josh", "judith": "judy", "katharina": "kat käthe katja",
+    "katherine": "kate katie kathy kitty kit", "kenneth": "ken", "lawrence": "larry", "leonard": "len lenny", "leonardo": "leo len lenny", "lillian": "lily", "louise": "lou", "lucille": "lucy", "madeleine": "maddie", "magdalena": "lena maggie", "margaret": "peggy peg meg maggie madge daisy greta rita", "maria": "mia",
+    "martha": "patty mattie", "martin": "marty", "mary": "polly molly mamie", "matilda": "tilly mattie", "matthew": "matty", "matthias": "matty", "maximilian": "max", "michael": "mike mick mickey", "mildred": "millie", "miriam": "mimi mitzi", "mohammed": "mo moe", "montgomery": "monty",
+    "natalia": "nat natty tasha", "nathaniel": "nate", "nicholas": "nick klaus colin", "nomvula": "nomi", "octavia": "tavy", "oliver": "ollie", "oscar": "ossie", "patricia": "pat patsy patty trish", "patrick": "pat paddy", "penelope": "penny nell", "peter": "pete",
+    "philip": "pip phil", "priscilla": "cilla", "prudence": "pru", "rachel": "rae", "raymond": "ray", "rebecca": "becky bex", "reginald": "reggie", "richard": "rick dick ritchie", "robert": "rob bob bobby robin", "roderick": "rod roddy", "roland": "rolly", "ronald": "ron ronnie",
+    "rosalind": "roz rose rosa", "rosemary": "rosie", "roxanne": "roxy", "rudolph": "rudy", "russell": "russ", "samantha": "sam sammy", "samuel": "sam sammy", "sarah": "sally sadie", "sebastian": "bastian seb", "sibusiso": "sbu", "sophia": "sophie", "stephen": "steve steven",
+    "susan": "sue suzy", "sylvester": "sly", "sylvia": "syl", "terence": "terry", "teresa": "terry tess", "thandeka": "thandi", "theodora": "dora theo thea", "theodore": "ted teddy theo", "theresa": "terry tess", "thomas": "tom tommy", "timothy": "tim", "tobias": "toby", "ursula": "uschi ulla", "valerie": "val",
+    "veronica": "ronnie vera", "victoria": "vicky tori", "vincent": "vince vinny", "virginia": "ginny", "walter": "wally walt", "wilfred": "fred", "wilhelmina": "minnie billie willa wilma", "william": "bill billy liam will", "winifred": "freda winnie", "yolanda": "yoli", "zacharias": "zach zack zac",
 }
 #: Words of an organisation's name that don't tell it apart.
 FILLERS = frozenset("the and co cc pty ltd inc llc plc sons bros company limited".split())
@@ -44,17 +46,23 @@ def plain_tokens(text: str) -> list[str]:
 def form(kind: str, tokens: list[str]) -> str | None:
     """The form of a name: its kind and sorted tokens, without fillers, and without middle initials where two words remain.
 
-    None where nothing could tell the name apart: no word of five letters, or a single word without an initial.
+    None where nothing could tell the name apart: no word of two letters, or a single word without an initial.
     """
     tokens = [t for t in tokens if t not in FILLERS]
     longs, initials = [t for t in tokens if len(t) > 1], [t for t in tokens if len(t) == 1]
     if len(longs) > 1:
         initials = []
-    if not any(len(t) >= 5 for t in longs) or len(longs) + len(initials) < 2 or len(longs) > 4:
+    if not longs or len(longs) + len(initials) < 2:
         return None
     return f"{kind}|{' '.join(sorted([*longs, *initials]))}"
 
 
+def telling(tokens: list[str]) -> list[str]:
+    """The words of a form that may tell it apart, by which it is found: those of five letters or more, or else every word."""
+    long = [t for t in tokens if len(t) >= 5]
+    return long or [t for t in tokens if len(t) > 1]
+
+
 @lru_cache(maxsize=100_000)
 def phonetic(token: str) -> str:
     """Consonant classes in order, repeats without a vowel between them taken once."""
@@ -92,6 +100,8 @@ def beside_keys(kind: str, token: str) -> tuple[list[str], list[str]]:
     if len(token) >= 5:
         same |= {f"~{k}" for k in phonetic_keys(token)}
     same.add(f"={token}")
+    if kind == "name":
+        same |= {f"^{token[:3]}", f"${token[-4:]}"}  # a short form by rule has its name's beginning or end
     asks, answers = set(same), set(same)
     if kind == "name":
         asks |= {f">{c}" for c in initials_of(token)}
@@ -132,18 +142,44 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
+#: Closeness by Jaro-Winkler from which two words are the same: of four letters, with one slip, with more of them in a long word.
+CLOSE_SHORT, CLOSE, CLOSE_LONG, LONG = 0.93, 0.86, 0.93, 8
+
+
 @lru_cache(maxsize=200_000)
 def same_word(a: str, b: str) -> bool:
-    """Equal, or one typing error apart and close by Jaro-Winkler; short words must be equal."""
-    return a == b or min(len(a), len(b)) >= 5 and one_edit(a, b) and jaro_winkler(a, b) >= 0.86
+    """Equal, or close by Jaro-Winkler: the more two words differ, the closer they have to be, and with more than one slip
+    they begin and sound alike; words of three letters and fewer must be equal."""
+    if a == b:
+        return True
+    short = min(len(a), len(b))
+    if short < 4:
+        return False
+    if one_edit(a, b):
+        return jaro_winkler(a, b) >= (CLOSE_SHORT if short == 4 else CLOSE)
+    return short >= LONG and a[0] == b[0] and phonetic(a) == phonetic(b) and jaro_winkler(a, b) >= CLOSE_LONG
+
+
+def short_of(a: str, b: str) -> bool:
+    """``a`` is a short form of the given name ``b`` by rule: its beginning, also with y, ie, i or ey after it, or its end."""
+    if not 3 <= len(a) <= 6 or len(b) < len(a) + 2:
+        return False
+    stem_ = re.sub("(?<=..)(ie|ey|y|i|e)$", "", a)
+    stems = {a, stem_, stem_[:-1] if stem_[-1:] == stem_[-2:-1] else stem_}
+    return any(len(x) >= 3 and b.startswith(x) for x in stems) or len(a) >= 4 and b.endswith(a)
 
 
+@lru_cache(maxsize=200_000)
 def same_given(a: str, b: str) -> bool:
-    """The same given name: equal, a nickname of it, or a typing error of it; two known names are never errors of each other."""
+    """The same given name: equal, a nickname of it, or a typing error of it; two known names are never errors of each other.
+
+    A name of the table has the nicknames of the table and those by rule; two names of which one is a nickname of the
+    table and the other another full name of it are different.
+    """
     x, y = FORMAL.get(a), FORMAL.get(b)
     if x and y:
         return bool(x & y)
-    return same_word(a, b)
+    return same_word(a, b) or short_of(a, b) or short_of(b, a)
 
 
 def abbreviates(a: str, b: str) -> bool:
@@ -190,7 +226,7 @@ def _assign(a: list[str], b: list[str], head, rest) -> bool:
     """Whether one word of each side is the same by ``head`` and the others pair up by ``rest``."""
     for p in range(len(a)):
         for q in range(len(b)):
-            if min(len(a[p]), len(b[q])) >= 5 and not (a[p] in FORMAL and len(a) == 2 and a[1 - p] not in FORMAL) and head(a[p], b[q]):
+            if a[p] in telling(a) and b[q] in telling(b) and not (a[p] in FORMAL and len(a) == 2 and a[1 - p] not in FORMAL) and head(a[p], b[q]):
                 left, right = a[:p] + a[p + 1 :], b[:q] + b[q + 1 :]
                 for t in left:
                     hit = next((u for u in right if rest(t, u)), None)
@@ -224,15 +260,16 @@ def named_by(window: str, label: str) -> bool:
     return same_name(window, label)
 
 
-def windows(title: str) -> list[str]:
-    """The forms of all runs of two to four words of a title that could be a name."""
+def windows(title: str, most: int = 4) -> list[str]:
+    """The forms of all runs of two to ``most`` words of a title that could be a name."""
     tokens, out = [t for t in plain_tokens(title) if t not in FILLERS], set()
-    for size in (2, 3, 4):
+    for size in range(2, most + 1):
         for i in range(len(tokens) - size + 1):
             part = tokens[i : i + size]
             longs = sum(len(t) > 1 for t in part)
-            if longs == 2 and size <= 3 or longs == 1 and size == 2:
+            # a person's initials stand beside a surname, or as one among the words
+            if longs >= 2 and size - longs <= 1 or longs == 1 and size == 2:
                 out.add(form("name", part))
-            if longs == size and size <= 3:
+            if longs == size:
                 out.add(form("org", part))
     return sorted(f for f in out if f)

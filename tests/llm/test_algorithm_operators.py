@@ -114,6 +114,11 @@ def test_same_name():
     assert [p for p in same if not N.same_name(f(p[0], p[1]), f(p[0], p[2]))] == []
     assert [p for p in other if N.same_name(f(p[0], p[1]), f(p[0], p[2]))] == []
     assert f("name", "Rebecca") is None and f("name", "") is None
+    # names that no table holds: short words, several words, two slips in a long word, short forms by rule
+    same = [("name", "Lee, Ann", "ANN LEE"), ("name", "A. Lee", "Ann Lee"), ("name", "Maria van der Merwe Louw Botha", "Botha, Maria van der Merwe Louw"), ("name", "Esmeraldine Dutalozile", "Esme Dutalozile"), ("name", "Marcellina Dutalozile", "Marcie Dutalozile"), ("name", "Florentina Dutalozile", "Tina Dutalozile"), ("name", "Oyinkansola Dutaloizle", "Oyinkansola Dutlaozile")]
+    other = [("name", "Ann Lee", "Ann Lea"), ("name", "Esmeraldine Dutalozile", "Florentina Dutalozile"), ("name", "Tom Lee", "Ann Lee"), ("name", "Daniel Dutalozile", "Daniella Dutalozile")]
+    assert [p for p in same if not N.same_name(f(p[0], p[1]), f(p[0], p[2]))] == []
+    assert [p for p in other if N.same_name(f(p[0], p[1]), f(p[0], p[2]))] == []
 
 
 def test_jaro_winkler_and_edits():
@@ -149,5 +154,24 @@ def test_variant_links_of_a_surname_of_many(spark):
     assert got == {(a, b) for a in keys for b in keys if a < b} | {(a, f"note:{n}") for a in keys for n in (1, 2)} | {tuple(sorted(f"label:{x}" for x in firms))}
 
 
+def test_variant_links_of_generated_names(spark):
+    """Recall and precision on names and given names that no table holds."""
+    rng, keys, truth = random.Random(7), [], {}
+    syllables = "ba ko li mu ne ra shi to va zu gre dal fon".split()
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n)).capitalize()
+    for person in range(60):
+        given, surname = word(4), word(4)
+        at = rng.randrange(1, len(surname) - 1)
+        typed = surname[:at] + surname[at + 1] + surname[at] + surname[at + 2 :]
+        for label in {f"{given} {surname}", f"{surname}, {given}", f"{given.upper()} {surname.upper()}", f"{given} {typed}", f"{given[:1]}. {surname}", f"{given[:4]} {surname}", f"{given} Q. {surname}"}:
+            keys.append(label)
+            truth[f"label:{label}"] = person
+    notes = [(i, f"Lunch with {surname}", "f") for i, surname in enumerate(keys[::5])]
+    got = {tuple(r) for r in variant_links(spark.createDataFrame([(i, [("name", x)], "c") for i, x in enumerate(keys)], _M), spark.createDataFrame(notes, _N)).collect()}
+    truth |= {f"note:{i}": truth[f"label:{keys[5 * i]}"] for i, _, _ in notes}
+    want = {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b] and a.startswith("label:")}
+    assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
+
+
 def test_variant_links_empty(spark):
     assert rows(variant_links(spark.createDataFrame([], _M), spark.createDataFrame([], _N))) == []
