@@ -29,6 +29,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and images with the class of those that look the same, and how many of them have other characters."""
+    known, out = _lookalike_table(spark, sf_dir), None
+    for name, key, text in _LOOKS:
+        rows = lookalike.lookalike_groups(table(spark, sf_dir, name), key, text, known).select(F.lit(name).alias("source_table"), F.col("id").alias("row_id"), "class_id", "links")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every body and caption in its consistent form."""
     known, out = _lookalike_table(spark, sf_dir), None
@@ -39,17 +48,19 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+# What the check by SQL levels, of its own and not from the operator's tables: signs and the letters they are drawn like.
+_SQL_SIGNS = "АВЕКМНОРСТХаеорсухіјѕһԁԛԝӏІЈЅԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧο‐‑－﹣"
+_SQL_LETTERS = "ABEKMHOPCTXaeopcyxijshdqwlIJSQWABEZHIKMNOPTYXo----"
+_SQL_LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬆ", "st"))
+
+
 def _looks_sql(col: str) -> str:
     """The canonical form where Latin letters are the most frequent of their class, as in any Latin-script corpus."""
-    twins = [(t, latin) for latin, ts in lookalike.LATIN_TWINS.items() for t in ts]
-    wide = [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]
-    spaces = [(chr(c), " ") for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
-    hyphens = [(h, "-") for h in lookalike.HYPHENS]
-    single = dict(twins + wide + spaces + hyphens)
-    quote = lambda s: s.replace("'", "''")
+    wide, plain = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
     out = f"regexp_replace({col}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g')"
-    out = f"translate({out}, '{quote(''.join(single))}', '{quote(''.join(single.values()))}')"
-    for letters, sign in sorted(lookalike.LIGATURES.items(), key=lambda x: -len(x[0])):
+    out = f"translate({out}, '{_SQL_SIGNS}{wide}', '{_SQL_LETTERS}{plain}')"
+    out = f"regexp_replace({out}, '[\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
+    for sign, letters in _SQL_LIGATURES:
         out = f"replace({out}, '{sign}', '{letters}')"
     return f"nfc_normalize({out})"
 
@@ -140,7 +151,7 @@ _SPANS_SQL = """
   s AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h
         FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
 
-QUERIES = data_queries.QUERIES | {"p1_found": p1_found, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
+QUERIES = data_queries.QUERIES | {"p1_found": p1_found, "p1_groups": p1_groups, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
 SQL = data_queries.SQL | {
     "p7_found": f"WITH {_GRAMS_SQL.format(name='d', key='doc_id', words=_WORDS_SQL.format('text'), table='documents')}, {_GRAMS_SQL.format(name='e', key='item_id', words=_WORDS_SQL.format('passage'), table='eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     "p9_found": f"WITH {_SPANS_SQL} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
@@ -152,5 +163,8 @@ SQL = data_queries.SQL | {
          round(coalesce(shared_chars, 0) / length(text), 6) AS shared_share
   FROM documents LEFT JOIN sums USING (doc_id) WHERE length(text) >= 300""",
     "p1_found": f"WITH t AS ({_LOOKS_SQL}) SELECT DISTINCT a.source_table, a.row_id AS id_a, b.row_id AS id_b FROM t a JOIN t b ON a.source_table = b.source_table AND a.canonical = b.canonical AND a.raw <> b.raw AND a.row_id < b.row_id",
+    "p1_groups": f"""WITH t AS ({_LOOKS_SQL}), f AS (SELECT source_table, canonical, min(row_id) AS class_id FROM t GROUP BY ALL HAVING count(DISTINCT raw) > 1)
+  SELECT a.source_table, a.row_id, class_id, max((SELECT count(*) FROM t b WHERE b.source_table = a.source_table AND b.canonical = a.canonical AND b.raw <> a.raw)) AS links
+  FROM t a JOIN f USING (source_table, canonical) GROUP BY ALL""",
     "p1_canonical": f"WITH t AS ({_LOOKS_SQL}) SELECT DISTINCT source_table, row_id, canonical FROM t",
 }

@@ -27,6 +27,17 @@ def test_lookalike_pairs(spark):
     assert rows(lookalike.lookalike_pairs(empty, "note_id", "body", lookalike.learn_rewrites([(empty, "body")]))) == []
 
 
+def test_lookalikes_of_many_scripts(spark):
+    """Latin, Cyrillic, Greek, Armenian, Cherokee, Arabic, Japanese, Chinese: what is drawn alike is one, what isn't stays apart."""
+    same = [("scope", "ѕсоре"), ("TAXI", "ΤΑΧΙ"), ("son", "ѕօո"), ("VAT", "ᏙᎪᎢ"), ("vigour", "νigour"), ("Henry VIII", "Henry Ⅷ"), ("code", "𝖼𝗈𝖽𝖾"), ("x1", "𝚡𝟷"), ("سلام", "ﺳﻼم"), ("ガイド", "ｶﾞｲﾄﾞ"), ("大人", "⼤⼈"), ("Пять", "Πять"), ("go", "ɡo")]
+    other = [("bold", "𝐛old"), ("1st", "lst"), ("a", "á"), ("шт", "wt"), ("π", "n"), ("ي", "ى")]
+    data = [(2 * i + j, t, None, None) for i, p in enumerate(same + other) for j, t in enumerate(p)]
+    df = spark.createDataFrame(data + [(1000 + i, "the plain code of taxis has vigour and scope for every son who goes on " * 3, None, None) for i in range(3)], _TEXTS)
+    table = lookalike.learn_rewrites([(df, "body")])
+    assert rows(lookalike.lookalike_pairs(df, "note_id", "body", table)) == [(2 * i, 2 * i + 1) for i in range(len(same))]
+    assert rows(lookalike.lookalike_groups(df, "note_id", "body", table)) == sorted((2 * i + j, 2 * i, 1) for i in range(len(same)) for j in (0, 1))
+
+
 def test_lookalike_representative_follows_frequency():
     assert lookalike.rewrites({"о": 9, "o": 2})["o"] == "о"
     assert lookalike.rewrites({"о": 1, "o": 2})["о"] == "o"
