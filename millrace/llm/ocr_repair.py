@@ -1,9 +1,10 @@
 """Repair of text from scanned pages (problem 5).
 
-Method: a hidden Markov model over the lines of each record, with layout features as emissions, labels
-every line header, page_number, body or break (the last line of a paragraph). It is fitted on a bounded
-sample by Viterbi training, starting from rules of high precision. Words are checked against the whole
-corpus: a word is misread if undoing typical confusions gives a word that is far more frequent.
+Method: a hidden Markov model over the lines of each record, with layout features of the text and of the
+recogniser's boxes as emissions, labels every line header, page_number, body or break (the last line of a paragraph).
+It is fitted on a bounded sample by Viterbi training, starting from rules of high precision. Words are checked
+against the whole corpus: a word is misread if undoing typical confusions gives a word that is far more frequent; words
+that confusions may have made of each other share a key of strokes, by which they are joined.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from millrace.session import materialise
 
 #: Records the line model is fitted on, at most.
 SAMPLE = 1_500
-#: Misread words that go out at once, at most; more go out in several passes.
-WORD_BLOCK = 300_000
 #: A word is known if texts that no scanner read have it twice, and once in so many of them.
 KNOWN_IN = 5_000
 STATES = ("header", "page_number", "body", "break")
@@ -83,19 +82,48 @@ def lines_of(body: str) -> list[tuple[str, bool]]:
     return out
 
 
-def layout(body: str, title: str | None, repeated: set[str]) -> list[tuple]:
-    """The discrete features of every line: page-number form, likeness to a running line, place, length, end, start and gaps around it."""
+Box = tuple[list[int] | None, int | None]
+
+
+def _of_boxes(boxes: list[Box] | None, n: int) -> list[tuple]:
+    """Features of each line's box: indent, height and distance to the line above against what is usual, and the recogniser's confidence.
+
+    What isn't known, because the record has no boxes or not one a line, is a value of its own.
+    """
+    boxes = boxes if boxes and len(boxes) == n else [(None, None)] * n
+    known = [b for b, _ in boxes if b and len(b) == 4 and None not in b]
+    middle = lambda values, default: sorted(values)[len(values) // 2] if values else default
+    left, height = middle([b[0] for b in known], 0), max(1, middle([b[3] - b[1] for b in known], 1))
+    tops = [b[1] if b and len(b) == 4 else None for b, _ in boxes]
+    steps = [y - x if x is not None and y is not None else None for x, y in zip(tops, tops[1:])]
+    step = max(1, middle([d for d in steps if d is not None], 1))
+    level = lambda x, low, high: "?" if x is None else "low" if x < low else "high" if x > high else "usual"
+    out = []
+    for i, (b, c) in enumerate(boxes):
+        whole = b and len(b) == 4 and None not in b
+        out.append((
+            ("bi", level(b[0] - left if whole else None, -height / 2, height / 2)), ("bh", level((b[3] - b[1]) / height if whole else None, 0.8, 1.25)),
+            # the first line has none above it, which its place already tells
+            ("bg", "usual" if i == 0 else level(steps[i - 1] / step if steps[i - 1] is not None else None, 0.7, 1.4)), ("bc", level(c, 70, 90)),
+        ))
+    return out
+
+
+def layout(body: str, title: str | None, repeated: set[str], boxes: list[Box] | None = None) -> list[tuple]:
+    """The discrete features of every line: page-number form, likeness to a running line, place, length, end, start, gaps around it and figures in it, and those of its box."""
     lines = lines_of(body)
     head = flat(re.sub(r"\s+\d+$", "", title)) if title else ""
     flats = [flat(t) for t, _ in lines]
     often = Counter(flats)
     usual = sorted(len(t.rstrip()) for t, _ in lines)[len(lines) // 2] if lines else 1
+    boxed = _of_boxes(boxes, len(lines))
     out = []
     for i, (text, gap) in enumerate(lines):
         s = text.strip()
         number = 2 if PAGE_MARKED.match(s) else 1 if PAGE_BARE.match(s) else 0
         titled = bool(head) and not number and (flats[i] == head or abs(len(flats[i]) - len(head)) <= 2 and jaro_winkler(flats[i], head) >= 0.93)
-        short = len(s) <= 0.6 * usual and sum(c.isdigit() for c in s) < 4  # a sentence or a row of a table may come again by chance
+        figures = sum(c.isdigit() for c in s) >= 4
+        short = len(s) <= 0.6 * usual and not figures  # a sentence or a row of a table may come again by chance
         again = not number and len(flats[i]) > 3 and short and (flats[i] in repeated or often[flats[i]] > 1)
         running = (2 if EDGE_NUMBER.search(text) else 1) if titled or again else 0
         place = "first" if i == 0 else "last" if i == len(lines) - 1 else "second" if i == 1 else "inner"
@@ -103,7 +131,7 @@ def layout(body: str, title: str | None, repeated: set[str]) -> list[tuple]:
         end = "mark" if text.rstrip()[-1] in BREAKS else "stop" if s[-1] in ".!?:" else "open"
         start = "lower" if s[0].islower() else "upper" if s[0].isupper() else "other"
         after = lines[i + 1][1] if i + 1 < len(lines) else True
-        out.append((("n", number), ("r", running), ("p", place), ("l", size), ("e", end), ("s", start), ("g", gap), ("a", after)))
+        out.append((("n", number), ("r", running), ("p", place), ("l", size), ("e", end), ("s", start), ("g", gap), ("a", after), ("d", figures), *boxed[i]))
     return out
 
 
@@ -174,34 +202,46 @@ class LineModel:
         return model
 
 
-@lru_cache(maxsize=200_000)
-def corrections(word: str) -> tuple[str, ...]:
-    """Words that may have been printed: signs that no word holds are always undone, letters at up to two places.
+# The strokes of the key; letters and signs that a scanner takes for each other come out alike.
+STROKES = {
+    "o": "0", "I": "1|!lir", "a": "@", "t": "+", "s": "5$", "g": "9", "b": "68", "C": "(3éce", "v": "y",
+}
+WIDE_STROKES = {"n": "II", "h": "II", "u": "II", "m": "III", "d": "CI", "w": "vv"}
 
-    What is longer than 40 characters, or has more than six signs, or more signs than letters, is no misread word.
-    """
-    done: set[str] = set()
-    signs = sum(not c.isalpha() for c in word)
-    if len(word) > 40 or signs > 6 or 2 * signs > len(word):
-        return ()
-
-    def walk(i: int, made: str, letters: int) -> None:
-        if i == len(word):
-            done.add(made)
-            return
-        for size in (2, 1):
-            part = word[i : i + size]
-            if len(part) == size and part in READINGS:
-                sign = not part.isalpha()
-                if sign or letters < 2:
-                    for true in READINGS[part]:
-                        walk(i + size, made + true, letters + (not sign))
-        if word[i].isalpha() or word[i] in "-'":
-            walk(i + 1, made + word[i], letters)
-
-    walk(0, "", 0)
-    done.discard(word)
-    return tuple(sorted(done))
+
+def stroke_key(word: Column) -> Column:
+    """The same for any two words of which one may be read for the other; words that merely look related may share it too."""
+    key = F.translate(word, "".join(STROKES.values()), "".join(k * len(v) for k, v in STROKES.items()))
+    for letter, strokes in WIDE_STROKES.items():
+        key = F.replace(key, F.lit(letter), F.lit(strokes))
+    return key
+
+
+@lru_cache(maxsize=200_000)
+def misreads(word: str, true: str) -> bool:
+    """Whether ``word`` may have been read for ``true``: every sign that no word holds is undone, and letters at up to two places, or one in four."""
+    far = len(word) + 1
+    cost = [[far] * (len(true) + 1) for _ in range(len(word) + 1)]
+    cost[0][0] = 0
+    for i in range(len(word)):
+        for j in range(len(true) + 1):
+            if (so_far := cost[i][j]) >= far:
+                continue
+            if j < len(true) and word[i] == true[j] and (word[i].isalpha() or word[i] in "-'"):
+                cost[i + 1][j + 1] = min(cost[i + 1][j + 1], so_far)
+            for size in (1, 2):
+                part = word[i : i + size]
+                if len(part) == size and part in READINGS:
+                    for reading in READINGS[part]:
+                        if true.startswith(reading, j):
+                            at = j + len(reading)
+                            cost[i + size][at] = min(cost[i + size][at], so_far + part.isalpha())
+    return word != true and cost[-1][-1] <= max(2, len(word) // 4)
+
+
+@F.pandas_udf(T.BooleanType())
+def _misreads(words: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([misreads(w, t) for w, t in zip(words, true)], dtype=bool)
 
 
 EDGE = ".,;:?\"'“”"
@@ -233,53 +273,68 @@ def _trimmed(token: str) -> Column:
 def signed_tokens(bodies: DataFrame, body: str) -> DataFrame:
     """``(word, whole)``: how often each token with a sign at its end stands in texts that no scanner read."""
     tokens = bodies.select(F.explode(F.split(body, r"\s+")).alias("t")).select(_trimmed("t").alias("word"))
-    return tokens.where(F.length("word").between(2, 40) & F.col("word").rlike(SIGN_AT_EDGE) & F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count("*").alias("whole"))
+    return tokens.where((F.length("word") >= 2) & F.col("word").rlike(SIGN_AT_EDGE) & F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count("*").alias("whole"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _corrections(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: list(corrections(w)))
+#: A number of two figures or more, with a unit or an ending, is no word.
+NUMERAL = r"^\d[\d.,:/]*\d\p{L}{0,2}$"
+
+
+def page_words(pages: DataFrame, distinct: bool) -> DataFrame:
+    """``(memory_id, word)``: the words of the pages as they are looked up, words broken across lines and sheets whole too."""
+    marks = f"[{BREAKS}]"
+    joined = F.transform(F.regexp_extract_all("body", F.lit(rf"\S+{marks}[ \t]*\n+[ \t]*\S+"), F.lit(0)), lambda x: F.regexp_replace(x, rf"{marks}[ \t]*\n+[ \t]*", ""))
+    # over a running line the word goes on in the next line of text
+    tokens = F.concat(F.split("body", r"\s+"), joined, F.coalesce("broken", F.array().cast("array<string>")), F.array(F.concat("open", "next")))
+    words = F.filter(F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, f"^[{EDGE}]+|[{EDGE}]+$", ""))), lambda t: t.isNotNull())
+    return pages.select("memory_id", F.explode(F.array_distinct(words) if distinct else words).alias("word"))
 
 
-def misread_words(scans: DataFrame, body: str, words: DataFrame, signed: DataFrame, least: float = 2) -> DataFrame:
+def misread_words(seen_words: DataFrame, words: DataFrame, signed: DataFrame, least: float = 2) -> DataFrame:
     """``(word, correction)`` for every distinct word of the scans that is taken for misread.
 
-    Words broken across lines are looked up whole. A word stays as it is if texts that no scanner read have it
-    ``least`` times (with a sign at its end the whole token, from ``signed``), or if no correction is at least three times as frequent and four times as frequent as the word itself.
+    A word stays as it is if texts that no scanner read have it ``least`` times (with a sign at its end the whole token, from
+    ``signed``), or if no correction is at least three times as frequent and four times as frequent as the word itself.
     """
-    marks = f"[{BREAKS}]"
-    joined = F.transform(F.regexp_extract_all(body, F.lit(rf"\S+{marks}[ \t]*\n+[ \t]*\S+"), F.lit(0)), lambda x: F.regexp_replace(x, rf"{marks}[ \t]*\n+[ \t]*", ""))
-    tokens = F.concat(F.split(body, r"\s+"), joined)
-    seen = scans.select(F.explode(tokens).alias("t")).select(_trimmed("t").alias("word")).where(F.length("word").between(2, 40)).groupBy("word").agg(F.count("*").alias("seen"))
-    seen = seen.where(F.col("word").rlike(r"\p{L}"))
+    seen = seen_words.where((F.length("word") >= 2) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(NUMERAL)).groupBy("word").agg(F.count("*").alias("seen"))
     core = F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "")
     own = seen.join(words.withColumnsRenamed({"word": "core", "n": "own"}), core == F.col("core"), "left")
     own = own.select("word", F.greatest("seen", F.when(F.length("core") == F.length("word"), F.col("own")).otherwise(0)).alias("own"), F.coalesce("clean", F.lit(0)).alias("clean"))
     known = F.when(F.col("word").rlike(SIGN_AT_EDGE), F.coalesce("whole", F.lit(0))).otherwise(F.col("clean"))
-    asked = own.join(signed, "word", "left").where(known < least).select("word", "own", F.explode(_corrections("word")).alias("correction"))
-    found = asked.join(words.select(F.col("word").alias("correction"), "n"), "correction").where((F.col("n") >= 3) & (F.col("n") >= 4 * F.col("own")))
+    asked = own.join(signed, "word", "left").where(known < least).select("word", "own", stroke_key(F.col("word")).alias("key"))
+    likely = words.where("n >= 3").select(F.col("word").alias("correction"), "n", stroke_key(F.col("word")).alias("key"))
+    found = asked.join(likely, "key").where((F.col("n") >= 4 * F.col("own")) & (F.col("word") != F.col("correction"))).where(_misreads("word", "correction"))
     return found.groupBy("word").agg(F.max_by("correction", F.struct("n", "correction")).alias("correction"))
 
 
-MARKS = "memory_id bigint, album string, sheet int, line_no bigint, defect string, probe string"
+def broken_words(lines: list[str], states: list[int]) -> tuple[str | None, list[str], str | None]:
+    """The first word of a record, its words that are broken across lines, put together, and the part left open at its end."""
+    text = [lines[i] for i, s in enumerate(states) if s >= 2]
+    first, whole, carried = None, [], None
+    for place, line in enumerate(text):
+        words = [bare(t) for t in line.split()]
+        if not words:
+            continue
+        if place == 0:
+            first = words[0]
+        if carried is not None:
+            whole.append(carried + words[0])
+        last = line.rstrip()
+        carried = words[-1].rstrip(BREAKS) if len(last) > 1 and last[-1] in BREAKS and last[-2].isalpha() else None
+    return first, whole, carried
 
 
-def page_defects(body: str, title: str | None, repeated: set[str], model: LineModel, known: dict[str, str]) -> list[tuple]:
-    """``(line_no, defect, probe)`` of one record. A hyphen's probe is the word as a compound, to be looked up; an open one
-    at the record's end and the record's first word have the defects open and first."""
-    lines = [t for t, _ in lines_of(body)]
-    states = model.decode(layout(body, title, repeated))
+def page_defects(lines: list[str], states: list[int], known: dict[str, str], following: str | None) -> list[tuple]:
+    """``(line_no, defect, probe)`` of one record. A hyphen's probe is the word as a compound, to be looked up; ``following`` is
+    the first word of the next sheet, where a word that is left open goes on."""
     out = [(i + 1, STATES[s], None) for i, s in enumerate(states) if s < 2]
     text = [i for i, s in enumerate(states) if s >= 2]
     carried = ""  # the first part of a word broken at the end of the line before
     for place, i in enumerate(text):
-        tokens = lines[i].split()
         last = lines[i].rstrip()
         broken = len(last) > 1 and last[-1] in BREAKS and last[-2].isalpha()
-        words = [bare(t) for t in tokens]
+        words = [bare(t) for t in lines[i].split()]
         wrong = False
-        if place == 0 and words:
-            out.append((i + 1, "first", words[0]))
         if carried and words:
             whole = known.get(carried + words[0])
             wrong |= bool(whole) and not whole.endswith(words[0])
@@ -287,36 +342,47 @@ def page_defects(body: str, title: str | None, repeated: set[str], model: LineMo
         carried = ""
         if broken and words:
             carried = words.pop().rstrip(BREAKS)
-            if place + 1 < len(text):
-                tail = bare((lines[text[place + 1]].split() or [""])[0])
-                if tail[:1].isalpha() or tail[:1] in READINGS:
-                    out.append((i + 1, "hyphen", f"{carried}-{tail}"))
-                    whole = known.get(carried + tail)
-                    wrong |= bool(whole) and not whole.startswith(carried)
-                else:
-                    carried = ""
+            tail = bare((lines[text[place + 1]].split() or [""])[0]) if place + 1 < len(text) else following or ""
+            if place + 1 == len(text) or tail[:1].isalpha() or tail[:1] in READINGS:
+                out.append((i + 1, "hyphen", f"{carried}-{tail}"))
+                whole = known.get(carried + tail)
+                wrong |= bool(whole) and not whole.startswith(carried)
             else:
-                out.append((i + 1, "open", carried))
+                carried = ""
         wrong |= any(w in known for w in words)
         if wrong:
             out.append((i + 1, "misread", None))
     return out
 
 
-def _decode(model: LineModel, known):
+DECODED = "memory_id bigint, album string, sheet int, body string, states array<int>, first string, broken array<string>, open string"
+
+
+def _decode(model: LineModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                out += [(r["memory_id"], r["album"], r["sheet"], *d) for d in page_defects(r["body"], r["title"], set(r["repeated"] or ()), model, table)]
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["memory_id", "album", "sheet", "line_no", "defect", "probe"])
+            states, edges = [], []
+            for body, title, repeated, boxes in zip(*(batch.column(c).to_pylist() for c in ("body", "title", "repeated", "boxes"))):
+                states.append(model.decode(layout(body, title, set(repeated or ()), [(x["b"], x["c"]) if x else (None, None) for x in boxes or ()])))
+                edges.append(broken_words([t for t, _ in lines_of(body)], states[-1]))
+            first, broken, left = zip(*edges) if edges else ((), (), ())
+            own = [batch.column(c) for c in ("memory_id", "album", "sheet", "body")]
+            found = [pa.array(states, pa.list_(pa.int32())), pa.array(first, pa.string()), pa.array(broken, pa.list_(pa.string())), pa.array(left, pa.string())]
+            yield pa.RecordBatch.from_arrays([*own, *found], names=["memory_id", "album", "sheet", "body", "states", "first", "broken", "open"])
 
     return run
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            out += [(r["memory_id"], *d) for d in page_defects([t for t, _ in lines_of(r["body"])], r["states"], dict(r["known"] or ()), r["next"])]
+        columns = list(zip(*out)) or [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["memory_id", "line_no", "defect", "probe"])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _edge_lines(bodies: pd.Series) -> pd.Series:
     """The first and last two lines of each record, levelled, where they could be running lines."""
@@ -329,24 +395,22 @@ def _edge_lines(bodies: pd.Series) -> pd.Series:
 
 
 class ScannedPages:
-    """Scanned records of a table with ``memory_id, album, name, title, body``.
+    """Scanned records of a table with ``memory_id, album, name, title, body, ocr_lines``.
 
-    Null and empty bodies have no lines; null albums and titles give no hint of running lines; a re-delivered
-    record counts once; other columns are ignored. The sheet is the last number in ``name``.
+    Null and empty bodies have no lines; null albums and titles give no hint of running lines, null ``ocr_lines`` and boxes none of
+    the layout; a re-delivered record counts once; other columns are ignored. The sheet is the last number in ``name``; where
+    an album has a sheet twice, words broken at the end of the sheet before go on in the one of the smaller ``memory_id``.
     """
 
     def __init__(self, memories: DataFrame, is_scan: Column):
         self.memories = memories
         rows = memories.where(is_scan & F.col("body").isNotNull() & F.col("memory_id").isNotNull())
-        self.scans = rows.select("memory_id", "album", F.regexp_extract("name", r"(\d+)\D*$", 1).try_cast("int").alias("sheet"), "title", "body")
+        boxes = F.transform("ocr_lines", lambda x: F.struct(x["b"].alias("b"), x["c"].alias("c")))
+        self.scans = rows.select("memory_id", "album", F.regexp_extract("name", r"(\d+)\D*$", 1).try_cast("int").alias("sheet"), "title", "body", boxes.alias("boxes"))
         bodies, clean = memories.where("body IS NOT NULL"), ~F.coalesce(is_scan, F.lit(False))
         self.words = materialise(lexicon(bodies, "body", clean))
         self.clean = bodies.where(clean)
 
-    def misread(self, pages: DataFrame) -> DataFrame:
-        """``(word, correction)`` of the pages' misread words."""
-        return misread_words(pages, "body", self.words, signed_tokens(self.clean, "body"), max(2, self.clean.count() / KNOWN_IN))
-
     def pages(self) -> DataFrame:
         """The scans with the levelled lines that also stand at the edge of another record of the album; once each."""
         edges = self.scans.where("album IS NOT NULL").select("memory_id", "album", F.explode(_edge_lines("body")).alias("line")).distinct()
@@ -355,61 +419,59 @@ class ScannedPages:
         return self.scans.dropDuplicates(["memory_id"]).join(mine, "memory_id", "left")
 
     def model(self, pages: DataFrame) -> LineModel:
-        n = pages.count()
-        share = max(1, n // SAMPLE)
-        sample = pages.where(F.pmod(F.xxhash64("memory_id"), F.lit(share)) == 0).limit(SAMPLE).select("title", "body", "repeated").collect()
-        return LineModel.trained([layout(r["body"], r["title"], set(r["repeated"] or ())) for r in sample])
+        """Fitted on the ``SAMPLE`` records whose identifiers have the least hashes."""
+        sample = pages.select("memory_id", "title", "body", "repeated", "boxes").orderBy(F.xxhash64("memory_id"), "memory_id").limit(SAMPLE).collect()
+        return LineModel.trained([layout(r["body"], r["title"], set(r["repeated"] or ()), [(x["b"], x["c"]) if x else (None, None) for x in r["boxes"] or ()]) for r in sample])
+
+    def decoded(self) -> DataFrame:
+        """The pages with the label of every line, the word that begins and the part that ends each, and the first word of the next sheet."""
+        pages = materialise(self.pages())
+        found = materialise(pages.mapInArrow(_decode(self.model(pages)), DECODED))
+        follows = found.where("album IS NOT NULL AND first IS NOT NULL").groupBy("album", (F.col("sheet") - 1).alias("sheet")).agg(F.min_by("first", "memory_id").alias("next"))
+        open_ = found.where("open IS NOT NULL").select("memory_id", "album", "sheet").join(follows, ["album", "sheet"]).select("memory_id", "next")
+        return found.drop("album", "sheet", "first").join(open_, "memory_id", "left")
+
+    def misread(self, decoded: DataFrame) -> DataFrame:
+        """``(word, correction)`` of the pages' misread words."""
+        return misread_words(page_words(decoded, False), self.words, signed_tokens(self.clean, "body"), max(2, self.clean.count() / KNOWN_IN))
+
+    def corrected(self) -> DataFrame:
+        """The decoded pages with ``known``, the corrections of the words that each holds; nothing unbounded is broadcast."""
+        decoded = materialise(self.decoded())
+        wrong = materialise(self.misread(decoded))
+        mine = page_words(decoded, True).join(wrong, "word").groupBy("memory_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("known"))
+        return decoded.join(mine, "memory_id", "left")
 
     def defects(self) -> DataFrame:
         """``(memory_id, line_no, defect)``: header, page_number, hyphen and misread lines, lines counted from 1 without empty ones."""
-        spark = self.memories.sparkSession
-        pages = materialise(self.pages())
-        model = self.model(pages)
-        wrong = materialise(self.misread(pages))
-        blocks = max(1, -(-wrong.count() // WORD_BLOCK))
-        marks = None
-        for b in range(blocks):
-            mine = wrong.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b) if blocks > 1 else wrong
-            known = spark.sparkContext.broadcast({r["word"]: r["correction"] for r in mine.collect()})
-            found = pages.mapInArrow(_decode(model, known), MARKS)
-            marks = found if marks is None else marks.unionByName(found)
-        marks = materialise(marks)
-        sure = marks.where(F.col("defect").isin("header", "page_number", "misread")).select("memory_id", "line_no", "defect")
-        # a word broken at a record's end goes on in the next sheet
-        first = marks.where("defect = 'first'").select("album", (F.col("sheet") - 1).alias("sheet"), F.col("probe").alias("tail")).dropDuplicates(["album", "sheet"])
-        opened = marks.where("defect = 'open'").join(first, ["album", "sheet"], "left").select("memory_id", "line_no", F.concat("probe", F.lit("-"), F.coalesce("tail", F.lit(""))).alias("probe"))
-        broken = marks.where("defect = 'hyphen'").select("memory_id", "line_no", "probe").unionByName(opened)
+        marks = materialise(self.corrected().select("memory_id", "body", "states", "known", "next").mapInArrow(_mark, "memory_id bigint, line_no bigint, defect string, probe string"))
+        sure = marks.where("defect <> 'hyphen'").select("memory_id", "line_no", "defect")
         compounds = self.words.where(F.col("word").contains("-")).select(F.col("word").alias("probe"), "n", F.regexp_replace("word", "-", "").alias("word"))
         whole = compounds.join(self.words.select("word", F.col("n").alias("plain")), "word", "left").where(F.col("n") > F.coalesce("plain", F.lit(0))).select("probe")
-        hyphens = broken.join(whole, "probe", "left_anti").select("memory_id", "line_no", F.lit("hyphen").alias("defect"))
+        hyphens = marks.where("defect = 'hyphen'").join(whole, "probe", "left_anti").select("memory_id", "line_no", "defect")
         return sure.unionByName(hyphens).distinct()
 
     def paragraphs(self) -> DataFrame:
-        """``(memory_id, text)``: continuous paragraphs, parted by an empty line; running lines left out, broken words joined, misread ones corrected."""
-        spark = self.memories.sparkSession
-        pages = materialise(self.pages())
-        model = self.model(pages)
-        wrong = materialise(self.misread(pages))
+        """``(memory_id, text)``: continuous paragraphs, parted by an empty line; running lines left out, broken words joined, misread ones corrected.
+
+        A word left open at the end of a sheet is completed there by the first word of the next sheet, which keeps it too.
+        """
+        pages = self.corrected()
         compounds = self.words.where(F.col("word").contains("-") & (F.col("clean") > 0)).select("word")
-        # corrections that occur in a page travel with it, so nothing unbounded is broadcast
-        tokens = pages.select("memory_id", F.explode(F.array_distinct(F.transform(F.split("body", r"\s+"), lambda t: F.lower(F.regexp_replace(t, f"^[{EDGE}]+|[{EDGE}]+$", ""))))).alias("word"))
-        mine = tokens.join(wrong, "word").groupBy("memory_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("known"))
         breaks = pages.select("memory_id", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(rf"([\p{{L}}']+)[{BREAKS}][ \t]*\n+[ \t]*([\p{{L}}']+)"), F.lit(0))).alias("b"))
         kept = breaks.select("memory_id", F.regexp_replace("b", rf"[{BREAKS}][ \t]*\n+[ \t]*", "-").alias("word")).join(compounds, "word").groupBy("memory_id").agg(F.collect_set("word").alias("compounds"))
 
         @F.pandas_udf(T.StringType())
-        def repaired(bodies: pd.Series, titles: pd.Series, repeated: pd.Series, known: pd.Series, compounds: pd.Series) -> pd.Series:
+        def repaired(bodies: pd.Series, states: pd.Series, known: pd.Series, compounds: pd.Series, following: pd.Series) -> pd.Series:
             none = lambda x: () if x is None else x
-            return pd.Series([repair(b, t, set(none(r)), model, dict(none(k)), set(none(c))) for b, t, r, k, c in zip(bodies, titles, repeated, known, compounds)])
+            return pd.Series([repair(b, list(s), dict(none(k)), set(none(c)), f) for b, s, k, c, f in zip(bodies, states, known, compounds, following)])
 
-        rows = pages.join(mine, "memory_id", "left").join(kept, "memory_id", "left")
-        return rows.select("memory_id", repaired("body", "title", "repeated", "known", "compounds").alias("text"))
+        return pages.join(kept, "memory_id", "left").select("memory_id", repaired("body", "states", "known", "compounds", "next").alias("text"))
 
 
-def repair(body: str, title: str | None, repeated: set[str], model: LineModel, known: dict[str, str], compounds: set[str]) -> str:
+def repair(body: str, states: list[int], known: dict[str, str], compounds: set[str], following: str | None) -> str:
     """The text of one record as paragraphs."""
     lines = lines_of(body)
-    states = model.decode(layout(body, title, repeated))
     paragraphs, carried, fresh = [[]], "", False
 
     def fixed(token: str) -> str:
@@ -436,5 +498,5 @@ def repair(body: str, title: str | None, repeated: set[str], model: LineModel, k
         paragraphs[-1] += map(fixed, tokens)
         fresh = state == 3 and not carried
     if carried:
-        paragraphs[-1].append(carried + "-")
+        paragraphs[-1].append(fixed(carried + following) if following else carried + "-")
     return "\n\n".join(" ".join(p) for p in paragraphs if p)

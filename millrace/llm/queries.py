@@ -69,7 +69,9 @@ _LOOKS_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS source_table, {key
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> ScannedPages:
-    return ScannedPages(table(spark, sf_dir, "memories"), F.col("name").startswith("scan-") | F.col("album").startswith("Scan "))
+    # pages are recognised images that are no screenshots and that no manifest describes
+    is_scan = (F.col("text_source") == "ocr") & (F.col("kind") != "screenshot") & F.col("item_id").isNull() & F.col("note_id").isNull()
+    return ScannedPages(table(spark, sf_dir, "memories"), is_scan)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,22 +53,23 @@ def test_lookalike_representative_follows_frequency():
 
 
 def scan(i, body, album="Scan 1", title="House rules 1", name=None):
-    return (i, album, name or f"scan-1-{i:02}.png", title, body, "ocr", 0)
+    lines = [(t, [24, 40 + 30 * k, 24 + 9 * len(t), 62 + 30 * k] if k % 5 else None, 90) for k, t in enumerate(x for x in (body or "").split("\n") if x.strip())]
+    return (i, album, name or f"scan-1-{i:02}.png", title, body, "ocr", 0, lines if i % 3 else None)
 
 
-_SCANS = "memory_id bigint, album string, name string, title string, body string, word string, line int"
+_SCANS = "memory_id bigint, album string, name string, title string, body string, word string, line int, ocr_lines array<struct<t: string, b: array<int>, c: int>>"
 _CLEAN = "visitors should carry a sturdy lantern and the well-worn coat in the morning\n" * 6
 
 
 def scanned(spark, data):
-    clean = [(100 + i, "x", f"note{i}", None, _CLEAN + "carry carrying well-worn check-in", None, None) for i in range(5)]
+    clean = [(100 + i, "x", f"note{i}", None, _CLEAN + "carry carrying well-worn check-in", None, None, None) for i in range(5)]
     return ocr_repair.ScannedPages(spark.createDataFrame(data + clean, _SCANS), F.col("name").startswith("scan-"))
 
 
 def test_scanned_defects_and_paragraphs(spark):
     page = "House rules   {}\nVisitors should carry a stur-\ndy lantern and the well-\nworn coat in the morn1ng.\n\nVisitors shoulcl carry a lantern in the morning\nand the coat.\nPage {}"
     data = [scan(i, page.format(i, i)) for i in range(1, 9)]
-    data += [data[0], scan(20, None), scan(21, ""), scan(22, "\n\n"), scan(23, "Visitors should carry a lantern.", None, None), (None, None, "scan-9", None, "lost", None, None)]
+    data += [data[0], scan(20, None), scan(21, ""), scan(22, "\n\n"), scan(23, "Visitors should carry a lantern.", None, None), (None, None, "scan-9", None, "lost", None, None, None)]
     pages = scanned(spark, data)
     got = [r for r in rows(pages.defects()) if r[0] == 1]
     assert got == [(1, 1, "header"), (1, 2, "hyphen"), (1, 4, "misread"), (1, 5, "misread"), (1, 8, "page_number")] or got == [(1, 1, "header"), (1, 2, "hyphen"), (1, 4, "misread"), (1, 5, "misread"), (1, 7, "page_number")]
@@ -79,19 +80,19 @@ def test_scanned_defects_and_paragraphs(spark):
 
 
 def test_words_misread_at_their_ends(spark):
-    clean = [(100 + i, "x", f"note{i}", None, "keeps the wall of soil keep wa so keep wa so f (at cat that find th f keep!\n" * 6, None, None) for i in range(5)]
+    clean = [(100 + i, "x", f"note{i}", None, "keeps the wall of soil keep wa so keep wa so f (at cat that find th f keep!\n" * 6, None, None, None) for i in range(5)]
     data = [scan(1, "Page about keep5 here\nand (at the wa11\n0f so!| again\nnow th@+ is keep!")]
     pages = ocr_repair.ScannedPages(spark.createDataFrame(data + clean, _SCANS), F.col("name").startswith("scan-"))
     want = {"keep5": "keeps", "wa11": "wall", "0f": "of", "so!|": "soil", "th@+": "that"}
-    assert {r["word"]: r["correction"] for r in pages.misread(pages.pages()).collect()} == want
+    assert {r["word"]: r["correction"] for r in pages.misread(pages.decoded()).collect()} == want
     assert {r["line_no"] for r in pages.defects().where("defect = 'misread'").collect()} == {1, 2, 3, 4}
 
 
 def test_known_words_are_a_share_of_the_texts(spark, monkeypatch):
     monkeypatch.setattr(ocr_repair, "KNOWN_IN", 10)
-    clean = [(100 + i, "x", f"note{i}", None, "the modem lantern" + " modern" * 4 + " lantem" * (i < 3), None, None) for i in range(100)]
+    clean = [(100 + i, "x", f"note{i}", None, "the modem lantern" + " modern" * 4 + " lantem" * (i < 3), None, None, None) for i in range(100)]
     pages = ocr_repair.ScannedPages(spark.createDataFrame([scan(1, "A lantem and a modem")] + clean, _SCANS), F.col("name").startswith("scan-"))
-    assert {r["word"]: r["correction"] for r in pages.misread(pages.pages()).collect()} == {"lantem": "lantern"}
+    assert {r["word"]: r["correction"] for r in pages.misread(pages.decoded()).collect()} == {"lantem": "lantern"}
 
 
 def test_scanned_empty(spark):
@@ -99,10 +100,36 @@ def test_scanned_empty(spark):
     assert rows(pages.defects()) == [] and rows(pages.paragraphs()) == []
 
 
-def test_corrections():
-    assert "under" in ocr_repair.corrections("uncler") and "warm" in ocr_repair.corrections("w@rm") and "archived" in ocr_repair.corrections("arc1iived") and "since" in ocr_repair.corrections("smce")
-    assert ocr_repair.corrections("a" * 50) == () and ocr_repair.corrections("1" * 30) == ocr_repair.corrections("a1111111b") == ()
-    assert "clrnmlliivvd" in ocr_repair.corrections("clrnmlliivvcl")
+def test_words_misread_at_any_length(spark):
+    long, many = "antidisestablishmentarianismconsiderations", "individualistically"
+    seen = long.replace("s", "5").replace("i", "1"), many.replace("i", "!"), "c0nsiclerati0ri5"
+    clean = [(100 + i, "x", f"note{i}", None, f"{long} {many} considerations loam " * 6, None, None, None) for i in range(5)]
+    data = [scan(1, f"The {seen[0]} and\nthe {seen[1]} of\n{seen[2]} at 10am\n and stay")]
+    pages = ocr_repair.ScannedPages(spark.createDataFrame(data + clean, _SCANS), F.col("name").startswith("scan-"))
+    assert {r["word"]: r["correction"] for r in pages.misread(pages.decoded()).collect()} == dict(zip(seen, (long, many, "considerations")))
+
+
+def test_word_broken_at_a_sheets_end(spark):
+    data = [scan(1, "House rules  1\nVisitors should carry a mor-"), scan(2, "House rules  2\nn1ng coat and a lantern.", name="scan-1-02.png"), scan(3, "House rules  3\nmorning.", name="scan-1-03.png"), scan(4, "House rules  2\nzeal.", name="scan-1-02.png")]
+    pages = scanned(spark, data)
+    assert (1, 2, "hyphen") in rows(pages.defects())
+    text = {r[0]: r[1] for r in pages.paragraphs().collect()}
+    assert text[1] == "Visitors should carry a morning"
+
+
+def test_box_features():
+    body = "A title\nfirst line of text\nsecond line of text\n7"
+    boxes = [([200, 10, 260, 50], 95), ([20, 80, 200, 100], 92), ([20, 110, 210, 130], 60), (None, None)]
+    got = [dict(f) for f in ocr_repair.layout(body, None, set(), boxes)]
+    assert [g["bi"] for g in got] == ["high", "usual", "usual", "?"] and [g["bh"] for g in got] == ["high", "usual", "usual", "?"]
+    assert [g["bg"] for g in got][1:] == ["usual", "low", "?"] and [g["bc"] for g in got] == ["high", "high", "low", "?"]
+    assert {g["bi"] for g in map(dict, ocr_repair.layout(body, None, set(), boxes[:2]))} == {"?"}
+
+
+def test_misreads():
+    read = {"uncler": "under", "w@rm": "warm", "arc1iived": "archived", "smce": "since", "clrnmlliivvcl": "clrnmlliivvd"}
+    assert all(ocr_repair.misreads(a, b) for a, b in read.items())
+    assert not ocr_repair.misreads("under", "under") and not ocr_repair.misreads("a1111111b", "ab") and not ocr_repair.misreads("clclcl", "dddddd"[:3] + "x")
 
 
 # ---- problem 6
