@@ -130,6 +130,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mixer(table(spark, sf_dir, "documents")).shares(table(spark, sf_dir, "mix_targets"))
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target of a mix with the share that its source should have among those with documents, and whether it is met within 0.005 and the repeats are kept."""
+    shares = Mixer(table(spark, sf_dir, "documents")).shares(table(spark, sf_dir, "mix_targets"))
+    whole = shares.groupBy("mix_id").agg(F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).alias("whole"))
+    wanted = F.when(F.col("tokens") > 0, F.col("target_share") / F.col("whole")).otherwise(0.0)
+    met = (F.abs(F.col("actual_share") - wanted) <= 0.005) & (F.col("most_repeats") <= F.col("max_repeats"))
+    return shares.join(F.broadcast(whole), "mix_id", "left").select("mix_id", "source", F.round(wanted, 6).alias("wanted_share"), met.alias("met"))  # one row a mix
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share at least 300 consecutive characters."""
     return SharedSpans(table(spark, sf_dir, "documents")).pairs()
@@ -153,9 +162,12 @@ _SPANS_SQL = """
   s AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h
         FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"""
 
-QUERIES = data_queries.QUERIES | {"p1_found": p1_found, "p1_groups": p1_groups, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
+QUERIES = data_queries.QUERIES | {"p1_found": p1_found, "p1_groups": p1_groups, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_kept": p8_kept, "p9_found": p9_found, "p9_shares": p9_shares, "p9_deduplicated": p9_deduplicated}
 SQL = data_queries.SQL | {
     "p7_found": f"WITH {_GRAMS_SQL.format(name='d', key='doc_id', words=_WORDS_SQL.format('text'), table='documents')}, {_GRAMS_SQL.format(name='e', key='item_id', words=_WORDS_SQL.format('passage'), table='eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
+    "p8_kept": """WITH s AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND regexp_matches(text, '.')),
+  t AS (SELECT m.mix_id, m.source, CASE WHEN s.source IS NULL THEN 0.0 ELSE m.target_share END AS share FROM mix_targets m LEFT JOIN s USING (source))
+  SELECT mix_id, source, round(share / sum(share) OVER (PARTITION BY mix_id), 6) AS wanted_share, true AS met FROM t""",
     "p9_found": f"WITH {_SPANS_SQL} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
     "p9_shares": f"""WITH {_SPANS_SQL},
   hit AS (SELECT DISTINCT a.doc_id, a.i FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id),

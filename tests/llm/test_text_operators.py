@@ -258,11 +258,22 @@ def test_mixing(spark):
     shares = {(r["mix_id"], r["source"]): r for r in mixer.shares(targets).collect()}
     assert len(shares) == 7
     for source, want in (("big", 0.5), ("mid", 0.3), ("tiny", 0.2)):
-        assert abs(shares[1, source]["actual_share"] - want) < 0.02
+        assert abs(shares[1, source]["actual_share"] - want) < 0.001
+    assert [s for (m, s), r in shares.items() if m == 1 and r["limits"]] == ["tiny"]
     assert shares[2, "big"]["actual_share"] == 1.0 and shares[3, "none"]["tokens"] == 0 and shares[4, "big"]["tokens"] == 0
     assert rows(mixer.mixed(targets)) == rows(mixing.Mixer(docs).mixed(targets))
 
 
+@pytest.mark.parametrize("block", [7, 64, 5_000])
+def test_mixing_settles_tokens(spark, block):
+    docs, targets = mix_tables(spark)
+    mixer = mixing.Mixer(docs, params=mixing.MixParams(block=block, shard=4), size=1_500)
+    quota = mixer.quotas([tuple(r) for r in targets.collect()])
+    got = {(r["mix_id"], r["source"]): (r["tokens"], r["most_repeats"], r["max_repeats"]) for r in mixer.shares(targets).collect()}
+    assert sum(n for n, _ in quota[1].values()) == 1_500
+    assert all(got[m, s][0] == n and got[m, s][1] <= got[m, s][2] for m, q in quota.items() for s, (n, _) in q.items())
+
+
 def test_mixing_empty(spark):
     docs, targets = mix_tables(spark)
     assert {r["tokens"] for r in mixing.Mixer(docs.limit(0)).shares(targets).collect()} == {0}
@@ -275,6 +286,7 @@ def test_permutation():
     for n in (1, 2, 7, 100, 1000):
         out = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 12345))
         assert sorted(out) == list(range(n))
+        assert list(mixing.permuted(out, np.full(n, n), np.full(n, 12345), back=True)) == list(range(n))
     assert not math.isclose(0, float(np.abs(out - np.arange(n)).sum()))
 
 
