@@ -5,7 +5,11 @@ longer than ``REACH`` characters is cut further at points that depend only on th
 them. From every piece the run of consecutive pieces that follows is hashed over ``RUN`` characters
 and joined globally. Two texts that share 300 characters share such a run, wherever the span starts:
 within its first 96 characters lies a piece start that both texts have, and 200 more follow it. Runs on
-one diagonal are merged, and their ends are extended character by character.
+one diagonal are merged, compared character by character and extended at their ends.
+
+Pairs of records are only made where pairs are asked for. How much of a record is shared comes from the windows of
+``SPAN`` characters around shared runs, each counted once a text; deduplication from the runs of whole consecutive
+sentences. Both are linear in the texts, however many records hold a footer.
 """
 
 from __future__ import annotations
@@ -89,8 +93,9 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def text_key(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data, seed=1) - (1 << 63)
+def text_key(text: str) -> bytes:
+    """128 bits, so that equal keys mean equal texts in any collection."""
+    return xxhash.xxh3_128_digest(text.encode())
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,32 +104,98 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, starts in (x for part in chunks(batch.column(0).to_pylist()) for x in zip(part, piece_starts(part))):
             starts = starts[starts <= len(text) - RUN]
             h = [xxhash.xxh3_64_intdigest(text[s : s + RUN].encode()) - (1 << 63) for s in starts]
-            keys.append(np.full(len(h), text_key(text.encode())))
+            keys += [text_key(text)] * len(h)
             hashes.append(np.array(h, np.int64))
             places.append(starts)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(hashes), pa.int64()), pa.array(np.concatenate(places), pa.int32())], names=["text_key", "run", "place"])
+        if hashes:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(hashes), pa.int64()), pa.array(np.concatenate(places), pa.int32())], names=["text_key", "run", "place"])
 
 
-@F.pandas_udf(T.LongType())
+@F.pandas_udf(T.BinaryType())
 def _key_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: text_key(t.encode()))
+    return texts.map(text_key)
+
+
+def _common(s: str, t: str) -> int:
+    """Characters that two texts have in common from their beginnings on; by halving, so that the comparing is done by slices."""
+    low, high = 0, min(len(s), len(t))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if s[low:middle] == t[low:middle] else (low, middle - 1)
+    return low
 
 
 @F.pandas_udf(T.StructType([T.StructField("back", T.IntegerType()), T.StructField("ahead", T.IntegerType())]))
 def _extension(a: pd.Series, b: pd.Series, from_a: pd.Series, from_b: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Characters by which a shared span goes on to both sides."""
+    """Characters by which a shared span goes on to both sides; null where what was hashed alike isn't the same."""
     back, ahead = [], []
     for s, t, i, j, m in zip(a, b, from_a, from_b, n):
-        k = 0
-        while k < min(i, j) and s[i - k - 1] == t[j - k - 1]:
-            k += 1
-        back.append(k)
-        k, most = 0, min(len(s) - i, len(t) - j) - m
-        while k < most and s[i + m + k] == t[j + m + k]:
-            k += 1
-        ahead.append(k)
-    return pd.DataFrame({"back": back, "ahead": ahead})
+        same = s[i : i + m] == t[j : j + m]
+        back.append(_common(s[:i][::-1], t[:j][::-1]) if same else None)
+        ahead.append(_common(s[i + m :], t[j + m :]) if same else None)
+    return pd.DataFrame({"back": pd.array(back, "Int32"), "ahead": pd.array(ahead, "Int32")})
+
+
+def _windows(span: int):
+    """A digest of every window of ``span`` characters that may be shared: those that begin up to ``span - RUN`` before a shared run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, places in zip(*(batch.column(c).to_pylist() for c in ("text_key", "text", "places"))):
+                near = np.unique(np.array(places)[:, None] - np.arange(span - RUN + 1))
+                at = near[(near >= 0) & (near <= len(text) - span)]
+                data = text.encode() if text.isascii() else None
+                digests = [xxhash.xxh3_128_digest(text[w : w + span].encode() if data is None else data[w : w + span]) for w in at]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([key] * len(at), pa.binary()), pa.array(at, pa.int32())], names=["window", "text_key", "place"])
+
+    return run
+
+
+@F.pandas_udf(T.IntegerType())
+def _covered(places: pd.Series, span: pd.Series) -> pd.Series:
+    """Characters that the windows at the given places cover together."""
+    return pd.Series([int(np.minimum(np.diff(np.sort(p)), n).sum() + n) for p, n in zip(places, span)], dtype="int32")
+
+
+def sentence_runs(text: str, least: int) -> list[tuple[int, int]]:
+    """From each sentence on the shortest run of two or more sentences that has ``least`` characters: first and last sentence."""
+    starts = [*sentence_starts(text), len(text)]
+    out, last = [], 0
+    for first in range(len(starts) - 2):
+        last = max(last, first + 1)
+        while last < len(starts) - 1 and starts[last + 1] - starts[first] < least:
+            last += 1
+        if last >= len(starts) - 1:
+            break
+        out.append((first, last))
+    return out
+
+
+def _sentence_runs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digests, firsts, lasts = [], [], [], []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                starts = [*sentence_starts(text), len(text)]
+                for first, last in sentence_runs(text, least):
+                    ids.append(i)
+                    digests.append(xxhash.xxh3_128_digest(text[starts[first] : starts[last + 1]].rstrip().encode()))
+                    firsts.append(first)
+                    lasts.append(last)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["run", "doc_id", "first", "last"])
+
+    return run
+
+
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the sentences of the given runs."""
+    out = []
+    for text, runs in zip(texts, gone):
+        starts = [*sentence_starts(text), len(text)]
+        away = {k for r in runs for k in range(r["first"], r["last"] + 1)}
+        out.append("".join(text[s:e] for k, (s, e) in enumerate(zip(starts, starts[1:])) if k not in away).strip())
+    return pd.Series(out)
 
 
 class SharedSpans:
@@ -141,10 +212,17 @@ class SharedSpans:
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") >= min_chars))
         self.members = materialise(self.docs.select("doc_id", _key_udf("text").alias("text_key"), F.length("text").alias("chars")).distinct())
 
+    def shared_runs(self) -> DataFrame:
+        """``(run, text_key, place)``: the runs that more than one text has, once each; counted before any join, so that a run of very many texts is one row."""
+        runs = materialise(self.docs.select("text").mapInArrow(_runs, "text_key binary, run bigint, place int"))
+        several = runs.groupBy("run").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("run")
+        return salted_join(runs, several, ["run"]).distinct()
+
     def islands(self) -> DataFrame:
         """``(a, b, from_a, from_b, n)``: runs shared by two distinct texts, joined where they overlap on one diagonal."""
-        runs = self.docs.select("text").mapInArrow(_runs, "text_key bigint, run bigint, place int").groupBy("run", "text_key", "place").agg(F.lit(1).alias("one")).drop("one")
-        shared = materialise(runs.withColumnRenamed("text_key", "a").withColumnRenamed("place", "from_a").join(runs.withColumnRenamed("text_key", "b").withColumnRenamed("place", "from_b"), "run").where("a < b").select("a", "b", "from_a", "from_b"))
+        runs = materialise(self.shared_runs())
+        left, right = runs.withColumnsRenamed({"text_key": "a", "place": "from_a"}), runs.withColumnsRenamed({"text_key": "b", "place": "from_b"})
+        shared = materialise(salted_join(left, right, ["run"]).where("a < b").select("a", "b", "from_a", "from_b"))
         line = Window.partitionBy("a", "b", F.expr("from_a - from_b")).orderBy("from_a")
         fresh = F.when(F.col("from_a") > F.lag("from_a").over(line) + RUN, 1).otherwise(0)
         marked = shared.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(line))
@@ -156,59 +234,51 @@ class SharedSpans:
         islands = materialise(self.islands())
         needed = islands.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
         texts = self.members.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).join(needed, "text_key").join(self.docs.dropDuplicates(["doc_id"]), "doc_id").select("text_key", "text")
+        # a text of very many spans is split by Spark's own handling of skewed joins, as salts would multiply whole texts
         both = islands.join(texts.withColumnsRenamed({"text_key": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"text_key": "b", "text": "text_b"}), "b")
         grown = both.withColumn("e", _extension("text_a", "text_b", "from_a", "from_b", "n"))
         spans = grown.select("a", "b", (F.col("from_a") - F.col("e.back")).alias("from_a"), (F.col("from_b") - F.col("e.back")).alias("from_b"), (F.col("n") + F.col("e.back") + F.col("e.ahead")).alias("n"))
-        return spans.where(F.col("n") >= self.min_chars).distinct()
+        return spans.where(F.col("n") >= self.min_chars).distinct()  # a null length was no equal text
 
     def pairs(self) -> DataFrame:
         """``(doc_a, doc_b)``, ``doc_a < doc_b``: records that share a span, copies included."""
         found = self.text_spans().select("a", "b").distinct()
-        left = salted_join(self.members.select(F.col("text_key").alias("a"), F.col("doc_id").alias("x")), found, ["a"])
-        across = left.join(self.members.select(F.col("text_key").alias("b"), F.col("doc_id").alias("y")), "b")
-        copies = self.members.select("text_key", F.col("doc_id").alias("x")).join(self.members.select("text_key", F.col("doc_id").alias("y")), "text_key").where("x < y")
+        mine = lambda key, name: self.members.select(F.col("text_key").alias(key), F.col("doc_id").alias(name))
+        across = salted_join(mine("b", "y"), salted_join(mine("a", "x"), found, ["a"]), ["b"])
+        several = self.members.groupBy("text_key").count().where("count > 1").select("text_key")
+        copied = salted_join(mine("text_key", "x"), several, ["text_key"])
+        copies = salted_join(copied, copied.withColumnRenamed("x", "y"), ["text_key"]).where("x < y")
         both = across.select("x", "y").unionByName(copies.select("x", "y")).where("x <> y")
         return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
-    def covered(self, first_stays: bool = False) -> DataFrame:
-        """``(doc_id, start, end)``: stretches of each record, overlaps merged, that also stand in another record.
+    def shares(self) -> DataFrame:
+        """``(doc_id, chars, shared_chars, shared_share)`` of every record long enough to share a span.
 
-        With ``first_stays`` the record with the smallest id keeps what it shares, so that removing the rest leaves one copy.
+        A text of which there are copies is shared whole; of any other those characters count that lie in a window of
+        ``min_chars`` which another text has too. No pairs of texts are made.
         """
-        spans = materialise(self.text_spans())
-        lead = self.members.groupBy("text_key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"))
-        side = lambda k, o: spans.select(F.col(k).alias("text_key"), F.col(o).alias("other"), F.col(f"from_{k}").alias("start"), (F.col(f"from_{k}") + F.col("n")).alias("end"))
-        stretches = side("a", "b").unionByName(side("b", "a")).join(lead, "text_key").join(lead.select(F.col("text_key").alias("other"), F.col("lead").alias("other_lead")), "other")
-        # what a text shares with a text that comes later may stay, unless its own copy is a later one
-        stretches = stretches.select("text_key", "start", "end", F.col("other_lead").alias("before"))
-        whole = self.members.join(lead, "text_key").where("copies > 1").select("doc_id", F.lit(0).alias("start"), F.col("chars").alias("end"), F.col("lead").alias("before"))
-        each = salted_join(self.members.select("doc_id", "text_key"), stretches, ["text_key"]).select("doc_id", "start", "end", "before").unionByName(whole)
-        if first_stays:
-            each = each.where("before < doc_id")
-        line = Window.partitionBy("doc_id").orderBy("start", "end")
-        reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
-        marked = each.select("doc_id", "start", "end").distinct().withColumn("_fresh", F.when(F.col("start") > reach, 1).otherwise(0)).withColumn("_g", F.sum("_fresh").over(line))
-        return marked.groupBy("doc_id", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
-
-    def shares(self) -> DataFrame:
-        """``(doc_id, chars, shared_chars, shared_share)`` of every record long enough to share a span."""
-        sums = self.covered().groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
-        rows = self.members.join(sums, "doc_id", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
+        places = self.shared_runs().groupBy("text_key").agg(F.collect_list("place").alias("places"))
+        firsts = self.members.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("chars").alias("chars"))
+        texts = firsts.join(places, "text_key").join(self.docs.dropDuplicates(["doc_id"]), "doc_id").select("text_key", "text", "places")
+        windows = materialise(texts.mapInArrow(_windows(self.min_chars), "window binary, text_key binary, place int"))
+        several = windows.groupBy("window").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("window")
+        held = salted_join(windows, several, ["window"]).groupBy("text_key").agg(F.collect_set("place").alias("at"))
+        sums = held.select("text_key", _covered("at", F.lit(self.min_chars)).alias("in_windows"))
+        per_text = firsts.join(sums, "text_key", "left").select("text_key", F.when(F.col("copies") > 1, F.col("chars")).otherwise(F.coalesce("in_windows", F.lit(0))).alias("shared_chars"))
+        rows = salted_join(self.members, per_text, ["text_key"])
         return rows.select("doc_id", "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("shared_share"))
 
     def deduplicated(self) -> DataFrame:
-        """``(doc_id, text)``: texts without the sentences that a span already standing in an earlier record covers whole."""
-        cuts = self.covered(first_stays=True).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+        """``(doc_id, text)``: texts without the sentences of any run of sentences that stands in an earlier record, or earlier in the same one.
 
-        @F.pandas_udf(T.StringType())
-        def kept(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-            out = []
-            for text, spans in zip(texts, cuts):
-                starts = [*sentence_starts(text), len(text)]
-                gone = [(c["start"], c["end"]) for c in spans]
-                stays = [text[s:e] for s, e in zip(starts, starts[1:]) if not any(a <= s and e <= b for a, b in gone)]
-                out.append("".join(stays).strip())
-            return pd.Series(out)
-
-        rows = self.docs.dropDuplicates(["doc_id"]).join(cuts, "doc_id", "left")
-        return rows.select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(kept("text", F.coalesce("cuts", F.array().cast("array<struct<start:int,end:int>>")))).alias("text"))
+        A run is two or more consecutive sentences with ``min_chars`` characters or more; the record with the smallest id keeps
+        its own. Every run is hashed and grouped once over the whole collection.
+        """
+        whole = self.docs.dropDuplicates(["doc_id"])
+        runs = materialise(whole.mapInArrow(_sentence_runs(self.min_chars), "run binary, doc_id bigint, first int, last int"))
+        repeated = runs.groupBy("run").agg(F.min(F.struct("doc_id", "first")).alias("keeps"), F.count("*").alias("n")).where("n > 1").select("run", "keeps")
+        gone = salted_join(runs, repeated, ["run"]).where((F.col("keeps.doc_id") != F.col("doc_id")) | (F.col("keeps.first") != F.col("first")))
+        cuts = gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
+        none = F.array().cast("array<struct<first:int,last:int>>")
+        rows = whole.join(cuts, "doc_id", "left")
+        return rows.select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(_without("text", F.coalesce("cuts", none))).alias("text"))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, lookalike, mixing, ocr_repair, pii
+from millrace.llm import leakage, lookalike, mixing, ocr_repair, pii, shared_spans
 from millrace.llm.boosting import BoostedTrees, best_threshold
 from millrace.llm.shared_spans import RUN, SPAN, SharedSpans, piece_starts
 from tests.conftest import rows
@@ -334,14 +334,40 @@ def test_shared_spans_against_brute_force(spark, marks):
 def test_shares_and_deduplication(spark):
     sentence = [f"{prose(70, i, 'zz').replace('. ', 'a').strip().capitalize()}. " for i in range(30)]
     shared = "".join(sentence[:8])
-    docs = {1: shared + "".join(sentence[10:14]), 2: "".join(sentence[14:18]) + shared, 3: "".join(sentence[20:28]), 4: shared + "".join(sentence[10:14])}
+    docs = {1: shared + "".join(sentence[10:14]), 2: "".join(sentence[14:18]) + shared, 3: "".join(sentence[20:28]), 4: shared + "".join(sentence[10:14]), 5: "".join(sentence[18:20]) + shared[:302] + "é" + sentence[28]}
     spans = SharedSpans(spark.createDataFrame([(i, t, None, None) for i, t in docs.items()], _SPANS))
     share = {r["doc_id"]: r["shared_chars"] for r in spans.shares().collect()}
-    assert share[1] == share[4] == len(docs[1]) and share[3] == 0 and abs(share[2] - len(shared)) <= 2
+    assert share[1] == share[4] == len(docs[1]) and share[3] == 0 and abs(share[2] - len(shared)) <= 2 and abs(share[5] - 302) <= 2
     left = {r["doc_id"]: r["text"] for r in spans.deduplicated().collect()}
     assert left[1] == docs[1] and left[3] == docs[3] and left[4] == "" and shared.strip() not in left[2] and sentence[15].strip() in left[2]
 
 
+def test_shares_against_brute_force(spark):
+    rng, docs = random.Random(3), {}
+    footer = prose(310, 77)
+    for i in range(30):
+        docs[i] = prose(rng.randint(300, 700), 300 + i)
+    for i in range(30, 60):
+        source, n = docs[rng.randrange(30)], rng.choice([299, 300, 330, 420])
+        at = rng.randrange(max(1, len(source) - n + 1))
+        docs[i] = prose(rng.randint(0, 90), 400 + i) + source[at : at + n] + (footer if i % 3 else "ü")
+    docs = {i: t for i, t in docs.items() if len(t) >= 300}
+    grams = {i: {t[w : w + 300] for w in range(len(t) - 299)} for i, t in docs.items()}
+    want = {}
+    for i, t in docs.items():
+        others = set().union(*(g for j, g in grams.items() if j != i))
+        want[i] = len({c for w in range(len(t) - 299) if t[w : w + 300] in others for c in range(w, w + 300)})
+    got = {r["doc_id"]: r["shared_chars"] for r in SharedSpans(spark.createDataFrame([(i, t, None, None) for i, t in docs.items()], _SPANS)).shares().collect()}
+    assert got == want
+
+
+def test_sentence_runs():
+    text = "One two three. Four five. Six! Seven eight nine ten. End"
+    assert shared_spans.sentence_runs(text, 20) == [(0, 1), (1, 3), (2, 3), (3, 4)]
+    assert shared_spans.sentence_runs("", 20) == [] == shared_spans.sentence_runs("No end", 3)
+    assert shared_spans._common("abcdef", "abcxef") == 3 and shared_spans._common("", "a") == 0 and shared_spans._common("ab", "ab") == 2
+
+
 def test_spans_empty_and_long(spark):
     assert rows(SharedSpans(spark.createDataFrame([], _SPANS)).pairs()) == []
     long = prose(200_000, 9, "xx")
