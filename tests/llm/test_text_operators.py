@@ -134,7 +134,7 @@ def test_misreads():
 
 # ---- problem 6
 
-_GIVEN = "Rebecca Samantha Benjamin Patricia Jonathan Veronica Desmond Harriet".split()
+_GIVEN = "Brivandel Oyinkans Marutela Tsidelo Kaelwyn Zofimara Hedrunel Iskavya".split()  # no table holds them
 _SURNAMES = "Dutalozile Klandrivel Vornemaved Brefendorp Gelkolepoul Hansivorde".split()
 
 
@@ -158,6 +158,15 @@ def test_pii_on_held_out_letters():
     assert hit / sum(len(w) for _, w in held) > 0.97 and hit / sum(map(len, found)) > 0.97
 
 
+def test_pii_of_several_countries(spark):
+    rng, phones, numbers = random.Random(4), ["+44 20 7946 {:04}", "(212) 555 {:04}", "212-555-{:04}", "06 12 34 5{} 78", "+1 415 555 {:04}", "030 1234{:04}"], ["{:03}-45-6789", "AB 12 34 {:02} C", "8001015{:03}087", "X{:07}"]
+    text = lambda i: (f"Please call {phones[i % 6].format(rng.randint(1000, 9999) if i % 6 != 3 else rng.randint(1, 9))} about the red coat. Her passport {numbers[i % 4].format(rng.randint(10, 99) * 10 if i % 4 != 1 else rng.randint(10, 99))} is on the table. Order {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} came with serial {rng.randint(10**11, 10**12)}.")
+    model = pii.Detector().fit([text(i) for i in range(300)])
+    held = [text(i) for i in range(1000, 1060)]
+    found = [sorted(k for k, _, _ in spans) for spans in model.select(held)]
+    assert sum(f == ["id_number", "phone"] for f in found) >= 57
+
+
 def test_pii_table(spark):
     model = pii.Detector().fit([t for t, _ in letters(300, 1)])
     text, want = letters(1, 3)[0]
@@ -179,7 +188,7 @@ def test_pii_words_of_all_texts(spark):
     df = spark.createDataFrame(data, "note_id bigint, body string")
     whole = pii.Detector().fit([t for _, t in data]).lower
     model = pii.learn(df, "body", sample=10)
-    assert model.lower == whole and {"meet", "plover"} <= set(whole)
+    assert model.lower == whole and {"meet", "plover"} <= set(whole) and {"^" + g.lower() for g in _GIVEN} <= set(whole)
     # too many words to go out with the detector: each text gets its own
     parted = pii.learn(df, "body", sample=200, word_limit=0)
     held = pii.learn(df, "body", sample=200)
