@@ -1,34 +1,21 @@
-"""Hybrid ranking of documents for batches of questions.
-
-Questions are rows, so a batch is scored by joins. The question side goes out to all executors only after its size has
-been counted; a larger one is joined by shuffling.
-"""
+"""Signals of the ranking as Column expressions, and searches by vector and by shared detail; see also ``hybrid``."""
 
 from __future__ import annotations
 
-import hashlib
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.functions.text import let, stems, tokens
-from millrace.session import materialise
+from millrace.functions.text import let
+from millrace.session import salted_join
 
 K1, B = 1.4, 0.72
 WEIGHTS = {"semantic": 0.5, "keyword": 0.26, "coverage": 0.13, "entity": 0.075, "phrase": 0.05, "recency": 0.03}
-#: Length of the hashed vectors.
-DIMS = 32
-#: Rows of a question side that may be broadcast.
-BROADCAST_ROWS = 20_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Vectors that are asked for at once, at most.
+ASKED = 20_000
 
 
 def soft_filter(df: DataFrame, match: Column, keys: list[str]) -> DataFrame:
@@ -38,29 +25,6 @@ def soft_filter(df: DataFrame, match: Column, keys: list[str]) -> DataFrame:
     return flagged.where(match | (F.col("_any") == 0)).drop("_any")
 
 
-def bm25(docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", terms: str = "terms") -> DataFrame:
-    """``(query_id, doc_id, raw, keyword, matched)`` for every question and document that share a stem; ``matched`` counts the stems.
-
-    Statistics are those of the given documents, so filter before. ``keyword`` is ``raw`` over the best of the question, or over
-    0.0001 where the best is smaller. Only stems that a question asks for are shuffled.
-    """
-    asked = questions.select(query_id, F.explode(F.array_distinct(stems(F.col(terms)))).alias("stem"))
-    wanted = small(asked.select("stem").distinct())
-    # written once: three passes read it, and stemming costs more than reading
-    stemmed = materialise(docs.select(doc_id, stems(tokens(F.col(text))).alias("_stems"))).withColumn("_length", F.size("_stems"))
-    corpus = stemmed.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"))
-    postings = stemmed.select(doc_id, "_length", F.explode("_stems").alias("stem")).join(wanted, "stem", "left_semi").groupBy(doc_id, "_length", "stem").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("stem").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # the statistics are one row, the frequencies one row a stem that is asked for
-    weights = frequency.crossJoin(F.broadcast(corpus)).select("stem", idf.alias("idf"), F.when(F.col("_mean") > 0, F.col("_mean")).otherwise(1.0).alias("_mean"))
-    weighted = small(asked.join(weights, "stem"))
-    gain = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
-    scored = postings.join(weighted, "stem").groupBy(query_id, doc_id).agg(F.sum(gain).alias("raw"), F.count("*").alias("matched"))
-    best = scored.groupBy(query_id).agg(F.greatest(F.max("raw"), F.lit(0.0001)).alias("_best"))
-    return scored.join(small(best), query_id).select(query_id, doc_id, "raw", (F.col("raw") / F.col("_best")).alias("keyword"), "matched")
-
-
 def top_k(df: DataFrame, k: int, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key with their rank; Spark limits each partition before it shuffles."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
@@ -70,11 +34,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_fixed(a: Column, b: Column, dims: int) -> Column:
-    """The same for vectors of a known length, written out so that it is compiled."""
-    return sum((a[i] * b[i] for i in range(1, dims)), a[0] * b[0])
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
 
@@ -95,33 +54,48 @@ def recency(captured: Column, now: Column) -> Column:
     return F.when(captured.isNotNull(), 1 / (1 + days / 365))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hashed_vector(words: pd.Series) -> pd.Series:
-    """A deterministic embedding of tokens in place of a model: each adds or subtracts one in the dimension of its digest. Unit length."""
-    return words.map(_hashed)
-
-
-@lru_cache(maxsize=200_000)
-def _code(word: str) -> int:
-    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:4], 16)
-
+def nearest_of(rows: DataFrame, asked: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
+    """``(query_id, id, similarity, rank)``: the ``k`` rows nearest to each asked vector by dot product, rounded to six decimals; ties go to the smaller id.
 
-def _hashed(words: np.ndarray, dims: int = DIMS) -> np.ndarray:
-    codes = np.array([_code(w) for w in words], int)
-    v = np.bincount(codes % dims, 1.0 - 2.0 * (codes // dims % 2), dims) if len(codes) else np.zeros(dims)
-    n = np.sqrt((v * v).sum())
-    return v / n if n else v
-
-
-def best_variant(docs: DataFrame, variants: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id") -> DataFrame:
-    """``(query_id, doc_id, similarity, variant)``: the best cosine over a question's variants; the first variant wins ties.
-
-    ``variants`` has ``query_id, variant, query_vector``, ``docs`` has ``doc_id, vector``. A stated set of questions meets every document.
+    ``asked`` has the same columns and goes out in blocks of ``ASKED`` vectors; every task keeps its own best, so nothing is shuffled but these.
+    A row isn't its own neighbour; null vectors and vectors of another length take no part.
     """
-    pairs = docs.select(doc_id, "vector").crossJoin(small(variants))
-    scored = pairs.select(query_id, doc_id, "variant", dot_fixed(F.col("vector"), F.col("query_vector"), DIMS).alias("similarity"))
-    best = F.max(F.struct("similarity", (-F.col("variant")).alias("v"))).alias("b")
-    return scored.groupBy(query_id, doc_id).agg(best).select(query_id, doc_id, F.col("b.similarity").alias("similarity"), (-F.col("b.v")).alias("variant"))
+    spark, out = rows.sparkSession, None
+    usable = asked.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0)).select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
+    blocks = max(1, -(-usable.count() // ASKED))
+    for b in range(blocks):
+        mine = usable.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).collect()
+        by_size: dict[int, tuple[list, list]] = {}
+        for i, v in mine:
+            ids, vectors = by_size.setdefault(len(v), ([], []))
+            ids.append(i)
+            vectors.append(v)
+        model = spark.sparkContext.broadcast({n: (np.array(i, np.int64), np.array(v)) for n, (i, v) in by_size.items()})
+        all_rows = rows.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0)).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+        found = all_rows.mapInArrow(_nearest_of(model, k), "query_id bigint, id bigint, similarity double")
+        out = found if out is None else out.unionByName(found)
+    best = top_k(out, k, ["query_id"], [F.desc("similarity"), F.asc("id")])
+    return best.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "rank", "similarity")
+
+
+def _nearest_of(model, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("v").value_lengths().to_numpy()
+            for size, (asked, vectors) in model.value.items():
+                rows = batch.take(pa.array(np.flatnonzero(lengths == size)))
+                if not len(rows):
+                    continue
+                ids, v = rows.column("id").to_numpy(), rows.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                for at in range(0, len(asked), 1024):
+                    sim = np.round(vectors[at : at + 1024] @ v.T, 6)
+                    sim[asked[at : at + 1024, None] == ids[None]] = -np.inf
+                    top = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
+                    best = np.take_along_axis(sim, top, 1)
+                    q, j = np.nonzero(np.isfinite(best))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[at : at + 1024][q]), pa.array(ids[top[q, j]]), pa.array(best[q, j])], names=["query_id", "id", "similarity"])
+
+    return run
 
 
 def blend(semantic: Column, keyword: Column, coverage: Column, entity: Column, phrase: Column, recency: Column, phone: Column | None = None) -> Column:
@@ -133,47 +107,11 @@ def blend(semantic: Column, keyword: Column, coverage: Column, entity: Column, p
 
 def entity_hits(entities: DataFrame, asked: DataFrame) -> DataFrame:
     """``(query_id, doc_id, hits, phone)`` from ``(doc_id, type, identity)`` and ``(query_id, identity)``: a shared entity counts one, a phone 2.5; at most three."""
-    joined = entities.join(small(asked), "identity")
+    joined = salted_join(entities, asked, ["identity"])
     hits = F.least(F.sum(F.when(F.col("type") == "phone", 2.5).otherwise(1.0)), F.lit(3.0))
     return joined.groupBy("query_id", "doc_id").agg(hits.alias("hits"), F.max(F.col("type") == "phone").alias("phone"))
 
 
-def bridge(ranked: DataFrame, entities: DataFrame, kinds: tuple[str, ...] = ("phone", "name", "org", "email", "website", "reference")) -> DataFrame:
-    """``ranked`` (``query_id, doc_id, score``) with ``bridge`` and ``bridged``: documents that share a detail with a question's best one gain.
-
-    ``entities`` has ``doc_id, type, identity``. The best document itself gains nothing and may be overtaken.
-    """
-    leaders = top_k(ranked, 1, ["query_id"], [F.desc("score"), F.asc("doc_id")])
-    details = leaders.join(entities.where(F.col("type").isin(*kinds)), "doc_id").select("query_id", F.col("doc_id").alias("leader"), "identity").distinct()
-    shared = entities.join(small(details), "identity").where("doc_id <> leader").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"))
-    gain = F.when(F.col("shared").isNull(), 0.0).otherwise(F.least(F.lit(0.15), 0.06 + 0.04 * F.col("shared")))
-    return ranked.join(shared, ["query_id", "doc_id"], "left").withColumn("bridge", gain).withColumn("bridged", F.col("score") + F.col("bridge")).drop("shared")
-
-
-def hybrid(docs: DataFrame, questions: DataFrame, now: Column, k: int = 12) -> DataFrame:
-    """The ``k`` best documents of each question with all signals.
-
-    ``docs`` has ``doc_id, text, captured_at``, ``questions`` has ``query_id, raw, terms, variants``. Documents without text score
-    by what is left; ties go to the smaller id; scores of 0.02 and less are left out.
-    """
-    flat = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+", " "))
-    # written once, as every question meets every document
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = materialise(docs.repartition(parts, "doc_id").select("doc_id", hashed_vector(tokens(F.col("text"))).alias("vector"), flat(F.coalesce("text", F.lit(""))).alias("_flat"), recency(F.col("captured_at"), now).alias("recency")))
-    variants = questions.select("query_id", F.posexplode("variants").alias("variant", "v")).select("query_id", "variant", hashed_vector(tokens(F.col("v"))).alias("query_vector"))
-    near = best_variant(ready.select("doc_id", "vector"), materialise(variants))
-    words = bm25(docs, questions).select("query_id", "doc_id", "keyword", "matched")
-    asked = small(questions.select("query_id", F.size(F.array_distinct(stems(F.col("terms")))).alias("wanted"), flat(F.col("raw")).alias("phrase_wanted")))
-    joined = near.join(words, ["query_id", "doc_id"], "left").join(asked, "query_id").join(ready.drop("vector"), "doc_id")
-    signals = joined.select(
-        "query_id", "doc_id", "variant", semantic(F.col("similarity")).alias("semantic"), F.coalesce("keyword", F.lit(0.0)).alias("keyword"),
-        F.coalesce(F.col("matched") / F.nullif("wanted", F.lit(0)), F.lit(0.0)).alias("coverage"),
-        F.when((F.length("phrase_wanted") > 12) & F.contains(F.col("_flat"), F.col("phrase_wanted")), 1.0).otherwise(0.0).alias("phrase"), "recency",
-    )
-    score = F.round(blend(F.col("semantic"), F.col("keyword"), F.col("coverage"), F.lit(0.0), F.col("phrase"), F.coalesce("recency", F.lit(0.0))), 6)
-    return top_k(signals.withColumn("score", score).where("score > 0.02"), k, ["query_id"], [F.desc("score"), F.asc("doc_id")])
-
-
 def relevance_band(ranked: DataFrame) -> DataFrame:
     """Rows within 0.32 of their question's best score, and of at least 0.14."""
     best = F.max("score").over(Window.partitionBy("query_id"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_text, content_tokens, let, truncate
+from millrace.functions.entities import ENTITY, distinct_entities, name_entities, pattern_entities
+from millrace.functions.text import clean_text, content_tokens, let, tokens, truncate
 
 
 def present(c: Column) -> Column:
@@ -65,10 +66,51 @@ def keywords(df: DataFrame, id_col: str, text: Column, n: int = 12) -> DataFrame
 
     Counting stays within the row, so nothing is shuffled.
     """
-    words = F.filter(content_tokens(text), lambda t: F.length(t) >= 3)
-    counted = lambda w: F.transform(F.array_distinct(w), lambda t: F.struct((-F.size(F.filter(w, lambda x: x == t))).alias("n"), t.alias("t")))
+    return df.select(id_col, top_words(text, n).alias("keywords"))
+
+
+def top_words(text: Column, n: int = 12) -> Column:
+    """The ``n`` most frequent content tokens of three letters or more; sorted and counted by runs, so linear in a long text."""
+    words = F.array_sort(F.filter(content_tokens(text), lambda t: F.length(t) >= 3))
+
+    def counted(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (w[i] != w[F.greatest(i - 1, F.lit(0))]))
+        runs = lambda s: F.transform(s, lambda at, j: F.struct((at - F.coalesce(F.get(s, j + 1), F.size(w))).alias("n"), w[at].alias("t")))
+        return F.when(F.size(w) > 0, let(starts, runs))
+
     ranked = F.transform(F.slice(F.array_sort(let(words, counted)), 1, n), lambda s: s["t"])
-    return df.select(id_col, ranked.alias("keywords"))
+    return F.coalesce(ranked, F.array().cast("array<string>"))
+
+
+def finish(df: DataFrame, id_col: str, parts: list[str]) -> DataFrame:
+    """``df``, which has ``text``, with ``tokens`` of it, and ``keywords``, ``entities`` and ``entity_index`` (their keys) of the named parts.
+
+    Null parts count as empty; a null text has no tokens.
+    """
+    whole = F.concat_ws("\n", *[F.coalesce(F.col(p), F.lit("")) for p in parts])
+    found = F.concat(pattern_entities(whole), name_entities(clean_text(whole)))
+    rows = df.withColumn("tokens", tokens(F.col("text"))).withColumn("keywords", top_words(F.concat_ws(" ", *parts))).withColumn("entities", found)
+    return rows.withColumn("entity_index", F.array_distinct(F.transform("entities", lambda e: e["key"])))
+
+
+def merged_entities(a: Column, b: Column) -> Column:
+    """The entities of ``a``, then those of ``b`` whose key is not among them; null counts as none."""
+    none = F.array().cast(ENTITY)
+    return distinct_entities(F.concat(F.coalesce(a, none), F.coalesce(b, none)))
+
+
+def seed(store: DataFrame, items: DataFrame, key: str, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The store filled with the items that it doesn't hold, and what came of each: ``(key, outcome)``, created, skipped or failed without a body.
+
+    With ``force`` the store is emptied first. Items that repeat a key count once, as skipped the other times.
+    """
+    store = store.limit(0) if force else store
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("body"))
+    known = items.withColumn("_turn", F.when(F.col("body").isNotNull(), turn)).join(store.select(key, F.lit(True).alias("_held")).distinct(), key, "left")
+    outcome = F.when(F.col("body").isNull() | F.col(key).isNull(), "failed").when(F.col("_held") | (F.col("_turn") > 1), "skipped").otherwise("created")
+    marked = known.withColumn("outcome", outcome)
+    fresh = marked.where("outcome = 'created'").drop("_turn", "_held", "outcome")
+    return store.unionByName(fresh, allowMissingColumns=True), marked.select(key, "outcome")
 
 
 def counts_by(df: DataFrame, fields: list[str]) -> DataFrame:

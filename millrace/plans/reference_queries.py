@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import entities as E
@@ -15,8 +14,9 @@ from millrace.operators import answers as A
 from millrace.operators import graph as G
 from millrace.operators import ranking as K
 from millrace.operators import store as S
+from millrace.operators.hybrid import HybridRanking
 from millrace.plans import sql as Q
-from millrace.session import spread
+from millrace.session import materialise, spread
 from millrace.session import table as stored
 from millrace.streaming.ingest import ingest_stream
 
@@ -222,6 +222,7 @@ def search_texts(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).select("memory_id", S.search_text(**{p: F.col(p) for p in _PARTS}).alias("text"))
 
 
+_SEARCHED = Q.clean('concat_ws(chr(10), ' + ', '.join(f"nullif({p}, '')" for p in _PARTS) + ')')
 _EMBEDDED = Q.clean("concat_ws(chr(10), nullif(title, ''), nullif(caption, ''), CASE WHEN kind <> '' AND source <> '' THEN kind || ' from ' || source END, nullif(location, ''), nullif(body, ''))")
 
 
@@ -337,22 +338,41 @@ def soft_kind_filter(spark: SparkSession, d: str) -> DataFrame:
     return K.soft_filter(memories(spark, d).select("memory_id", "source", "kind"), F.col("kind") == "page", ["source"])
 
 
-_WINDOW = R.time_window("what did I save in the last month?", datetime.fromisoformat(NOW))
+@query(f"WITH {_MEMORIES} SELECT memory_id, captured_at FROM m WHERE captured_at >= TIMESTAMPTZ '{NOW}+00' - INTERVAL 31 DAY AND captured_at < TIMESTAMPTZ '{NOW}+00' + INTERVAL 1 DAY")
+def time_window(spark: SparkSession, d: str) -> DataFrame:
+    """What was captured in the period that a question names."""
+    at, span = F.col("captured_at"), R.period(F.lit("what did I save in the last month?"), now())
+    return memories(spark, d).where((at >= span["since"]) & (at < span["until"])).select("memory_id", "captured_at")
 
 
-@query(f"WITH {_MEMORIES} SELECT memory_id, captured_at FROM m WHERE captured_at >= TIMESTAMPTZ '{_WINDOW[0]}+00' AND captured_at < TIMESTAMPTZ '{_WINDOW[1]}+00'")
-def time_window(spark: SparkSession, d: str) -> DataFrame:
-    start, end, _ = R.time_window("what did I save in the last month?", datetime.fromisoformat(NOW))
-    at = F.col("captured_at")
-    return memories(spark, d).where((at >= F.lit(str(start)).cast("timestamp")) & (at < F.lit(str(end)).cast("timestamp"))).select("memory_id", "captured_at")
+_ASKED_MONTHS = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), '\\b({m}|{m[:3]})\\b') THEN {i}" for i, m in enumerate("january february march april may june july august september october november december".split(), 1)) + " END"
+
+
+@query(f"""WITH q AS (SELECT item_id, {_ASKED_MONTHS} AS month FROM eval_items WHERE NOT regexp_matches(question, '\\b20[0-9][0-9]\\b')),
+  s AS (SELECT item_id, make_date(CASE WHEN month > 7 THEN 2025 ELSE 2026 END, month, 1) AS since FROM q WHERE month IS NOT NULL)
+  SELECT item_id, since, CAST(since + INTERVAL 1 MONTH AS DATE) AS until FROM s""")
+def asked_months(spark: SparkSession, d: str) -> DataFrame:
+    """The months that questions name."""
+    rows = table(spark, d, "eval_items").where(~F.col("question").rlike(r"\b20[0-9][0-9]\b")).select("item_id", R.period(F.col("question"), now()).alias("p"))
+    months = F.col("p.label").isin([f"in {m}" for m in R.MONTHS])
+    return rows.where(months).select("item_id", F.to_date("p.since").alias("since"), F.to_date("p.until").alias("until"))
 
 
 # ---- ranking
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    r = R.route(F.col("question"))
-    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), r["raw"].alias("raw"), r["terms"].alias("terms"), r["variants"].alias("variants"))
+    """Everything that is read from the questions: terms, filters, and the entities they name."""
+    r, span = R.route(F.col("question")), R.period(F.col("question"), now())
+    found = F.concat(E.pattern_entities(F.col("question")), E.name_entities(T.clean_text(F.col("question"))))
+    rows = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), r["raw"].alias("raw"), r["terms"].alias("terms"), r["kinds"].alias("kinds"), r["sources"].alias("sources"), span["since"].alias("since"), span["until"].alias("until"), found.alias("entities"))
+    return rows.withColumn("identities", F.transform("entities", E.identity))
+
+
+@query()
+def question_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entities that the questions name."""
+    return questions(spark, d).select("query_id", F.explode("entities").alias("e")).select("query_id", "e.type", "e.label", E.identity(F.col("e")).alias("identity"))
 
 
 def _bm25_sql(docs: str) -> str:
@@ -369,8 +389,8 @@ _TOP = "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def _bm25_top(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    scored = K.bm25(docs, asked).select("query_id", "doc_id", F.round("keyword", 6).alias("keyword"))
-    return K.top_k(scored, 12, ["query_id"], [F.desc("keyword"), F.asc("doc_id")])
+    found = HybridRanking(docs.select("doc_id", "text"), now()).keywords(asked.select("query_id", "raw", "terms"), 12)
+    return found.select("query_id", "doc_id", "rank", "keyword")
 
 
 @query(f"WITH {_bm25_sql('documents')} {_TOP}")
@@ -390,24 +410,79 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_bm25_sql('documents')}, r AS (SELECT query_id, doc_id, round(keyword, 6) AS score FROM kw) SELECT * FROM r QUALIFY score >= greatest(0.14, 0.32 * max(score) OVER (PARTITION BY query_id))")
 def relevance_band(spark: SparkSession, d: str) -> DataFrame:
-    scored = K.bm25(table(spark, d, "documents"), questions(spark, d)).select("query_id", "doc_id", F.round("keyword", 6).alias("score"))
-    return K.relevance_band(scored)
+    ranking = HybridRanking(table(spark, d, "documents").select("doc_id", "text"), now())
+    scored = ranking.keywords(questions(spark, d).select("query_id", "raw", "terms"), least=0.14)
+    return K.relevance_band(scored.select("query_id", "doc_id", F.col("keyword").alias("score")))
+
+
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The memories with a vector, as the ranking takes them. Stored vectors hold what a model made of a memory."""
+    rows = memories(spark, d).withColumn("vector", F.col("embedding_preview")).where("vector IS NOT NULL")
+    text = S.search_text(**{p: F.col(p) for p in _PARTS})
+    return rows.select(F.col("memory_id").alias("doc_id"), text.alias("text"), "title", "body", "caption", "kind", "source", "captured_at", "location", "entities", "text_source", F.col("ocr.confidence").alias("ocr_confidence"), "vector")
+
+
+def exemplary(spark: SparkSession, d: str) -> DataFrame:
+    """The questions, each with the vector and the details of one memory in place of a model's: the first question those of the memory with the smallest id, and so on."""
+    asked = table(spark, d, "eval_items").count()
+    first = indexed(spark, d).select("doc_id", "vector", "entities").orderBy("doc_id").limit(asked)
+    numbered = first.select(F.row_number().over(Window.orderBy("doc_id")).cast("bigint").alias("query_id"), F.array("vector").alias("vectors"), F.transform("entities", E.identity).alias("identities"))
+    return questions(spark, d).drop("identities", "kinds", "sources", "since", "until").join(numbered, "query_id", "left")
+
+
+_INDEXED = f"""{_MEMORIES}, t AS (SELECT memory_id AS doc_id, {_SEARCHED} AS text, captured_at, coalesce(entities, []) AS entities, embedding_preview AS v, row_number() OVER (ORDER BY memory_id) AS k FROM m WHERE embedding_preview IS NOT NULL),
+  {_bm25_sql('t')},
+  q AS (SELECT item_id AS query_id, list_distinct(list_filter({Q.stems(Q.terms(Q.clean('question')))}, lambda t: length(t) > 1)) AS qs, trim({Q.squash(Q.clean('question'))}) AS phrase, t.v AS qv FROM eval_items LEFT JOIN t ON k = item_id),
+  di AS (SELECT doc_id, e.type AS type, {_IDENTITY} AS identity FROM (SELECT doc_id, unnest(entities) AS e FROM t)),
+  qi AS (SELECT DISTINCT k AS query_id, {_IDENTITY} AS identity FROM (SELECT k, unnest(entities) AS e FROM t)),
+  en AS (SELECT query_id, doc_id, least(count(*) + 1.5 * count_if(type = 'phone'), 3.0) AS entity, count_if(type = 'phone') > 0 AS phone FROM di JOIN qi USING (identity) GROUP BY 1, 2),
+  ds AS (SELECT doc_id, {Q.stems(Q.tokens('text'))} AS s, {Q.squash('text')} AS flat, 1 / (1 + greatest(0.0, date_diff('microsecond', captured_at, TIMESTAMPTZ '{NOW}+00') / 86400000000.0) / 365) AS recency, v FROM t),
+  sig AS (SELECT q.query_id, ds.doc_id, greatest(0.0, (coalesce(list_inner_product(ds.v, q.qv), -1.0) - 0.05) / 0.75) AS semantic, coalesce(keyword, 0.0) AS keyword,
+            CASE WHEN len(qs) = 0 THEN 0.0 ELSE len(list_intersect(qs, s)) / len(qs) END AS coverage, coalesce(entity, 0.0) AS entity, coalesce(phone, false) AS phone,
+            CASE WHEN length(phrase) > 12 AND contains(flat, phrase) THEN 1.0 ELSE 0.0 END AS phrase, coalesce(recency, 0.0) AS recency
+          FROM q CROSS JOIN ds LEFT JOIN kw USING (query_id, doc_id) LEFT JOIN en USING (query_id, doc_id)),
+  base AS (SELECT query_id, doc_id, 0.5 * semantic + 0.26 * keyword + 0.13 * coverage + 0.075 * least(entity, 2.0) + 0.05 * phrase + 0.03 * recency + CASE WHEN phone THEN 0.25 ELSE 0.0 END AS s FROM sig)"""
+_BEST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 12"
+
+
+@query(f"WITH {_INDEXED} SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(s, 6) AS score FROM base) WHERE score > 0.02 {_BEST}")
+def hybrid_top(spark: SparkSession, d: str) -> DataFrame:
+    """The 12 best memories of each evaluation question by all signals."""
+    return HybridRanking(indexed(spark, d), now(), E.identity).top(exemplary(spark, d)).select("query_id", "doc_id", "score")
+
+
+_BRIDGED = """first AS (SELECT query_id, doc_id AS leader FROM base QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) = 1),
+  bi AS (SELECT * FROM di WHERE type IN ('phone', 'name', 'org', 'email', 'website', 'reference')),
+  li AS (SELECT DISTINCT query_id, leader, identity FROM first JOIN bi ON doc_id = leader),
+  br AS (SELECT query_id, doc_id, CAST(least(0.15, 0.06 + 0.04 * count(*)) AS DOUBLE) AS bridge FROM li JOIN bi USING (identity) WHERE doc_id <> leader GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_INDEXED}, {_BRIDGED} SELECT query_id, doc_id, score, bridge FROM (SELECT query_id, doc_id, round(s + coalesce(bridge, 0.0), 6) AS score, round(coalesce(bridge, 0.0), 3) AS bridge FROM base LEFT JOIN br USING (query_id, doc_id)) WHERE score > 0.02 {_BEST}")
+def hybrid_bridged(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with every memory raised that shares a detail with the best one before the 12 are taken."""
+    return HybridRanking(indexed(spark, d), now(), E.identity).top(exemplary(spark, d), bridged=True).select("query_id", "doc_id", "score", F.round("bridge", 3).alias("bridge"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    docs, asked = indexed(spark, d), questions(spark, d)
+    ranked = materialise(HybridRanking(docs, now(), E.identity).top(asked, bridged=True))
+    mine = docs.join(F.broadcast(ranked.select("doc_id").distinct()), "doc_id", "left_semi")  # at most 12 memories a question
+    words = S.keywords(mine, "doc_id", F.concat_ws(" ", "title", "caption", "body"))
+    return A.compose(ranked, asked, mine.join(words, "doc_id"), now())
 
 
 @query()
-def hybrid_top(spark: SparkSession, d: str) -> DataFrame:
-    """The 12 best documents of each evaluation question by all signals."""
-    return K.hybrid(table(spark, d, "documents").select("doc_id", "text", "captured_at"), questions(spark, d), now())
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Headline, kind, trail, confidence, notes and follow-ups of the answer to every question, filters and entities of the question used."""
+    rows = _answers(spark, d)
+    lines = lambda c: F.array_join(c, "\n")
+    return rows.select("query_id", "headline", "kind", lines(F.transform("bullets", lambda b: F.concat(b["text"], F.lit(" / "), b["why"]))).alias("bullets"), lines("trail").alias("trail"), "confidence", lines("notes").alias("notes"), lines("follow_ups").alias("follow_ups"))
 
 
 @query()
-def hybrid_bridged(spark: SparkSession, d: str) -> DataFrame:
-    """The same, with documents raised that share a detail with the best one, and the confidence in the first."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "captured_at")
-    found = docs.select("doc_id", F.explode(E.pattern_entities(F.col("text"))).alias("e")).select("doc_id", F.col("e.type").alias("type"), E.identity(F.col("e")).alias("identity"))
-    ranked = K.bridge(K.hybrid(docs, questions(spark, d), now()), found)
-    sure = A.confidence(F.col("semantic"), F.col("keyword"), F.col("coverage"), F.lit(0.0))
-    return ranked.select("query_id", "doc_id", "score", F.round("bridge", 3).alias("bridge"), F.round("bridged", 6).alias("bridged"), sure.alias("confidence"))
+def answer_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The memories that each answer rests on, with the reasons."""
+    return _answers(spark, d).select("query_id", F.posexplode("evidence").alias("place", "e")).select("query_id", "place", "e.doc_id", "e.score", F.array_join("e.reasons", "\n").alias("reasons"), "e.quote")
 
 
 _VECTORS = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"
@@ -419,9 +494,7 @@ _VECTORS = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)
 def cosine_top(spark: SparkSession, d: str) -> DataFrame:
     """The 12 nearest vectors of every vector whose id is divisible by 50, among all."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = K.small(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    pairs = v.crossJoin(asked).where("vec_id <> query_id").select("query_id", "vec_id", F.round(K.dot(F.col("embedding"), F.col("q")), 6).alias("similarity"))
-    return K.top_k(pairs, 12, ["query_id"], [F.desc("similarity"), F.asc("vec_id")]).withColumn("semantic", F.round(K.semantic(F.col("similarity")), 6))
+    return K.nearest_of(v, v.where("vec_id % 50 = 0"), 12).withColumn("semantic", F.round(K.semantic(F.col("similarity")), 6))
 
 
 @query(f"WITH v AS ({_VECTORS}), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM v) SELECT vec_id, round(norm, 4) AS norm, len(v) AS dims, round(v[1] / norm, 3) AS first, round(v[16] / norm, 3) AS sixteenth FROM n")
@@ -466,9 +539,27 @@ def connection_nodes(spark: SparkSession, d: str) -> DataFrame:
     return G.nodes(_edges(spark, d))
 
 
-@query(f"WITH {_EDGES} SELECT * FROM edges WHERE from_id % 50 = 0 OR to_id % 50 = 0")
+_HELD = f"{_MEMORIES}, {_MENTIONS}, h AS (SELECT *, count(*) OVER (PARTITION BY identity) AS strength FROM i QUALIFY strength > 1)"
+_SHARED_LABEL = "'same ' || CASE type WHEN 'phone' THEN 'phone number ' WHEN 'name' THEN 'person: ' WHEN 'website' THEN 'site ' ELSE type || ' ' END || label"
+
+
+@query(f"WITH {_HELD} SELECT identity, type, memory_id, captured_at, strength FROM h")
+def memberships(spark: SparkSession, d: str) -> DataFrame:
+    """The details that more than one memory holds, with the memories that hold them."""
+    return G.memberships(G.mentions(memories(spark, d)))
+
+
+@query(f"""WITH {_HELD}, l AS (SELECT memory_id, {_IDENTITY} AS identity, min(e.label) AS label FROM x WHERE e.type IN ('phone', 'name', 'website', 'reference', 'email') GROUP BY 1, 2)
+  SELECT a.memory_id AS asked, b.memory_id AS other, identity, b.type AS type, {_SHARED_LABEL.replace('type', 'b.type')} AS label, b.strength FROM h a JOIN h b USING (identity) JOIN l ON l.memory_id = a.memory_id AND l.identity = a.identity WHERE a.memory_id % 50 = 0 AND a.memory_id <> b.memory_id""")
 def related_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the memories whose id is divisible by 50."""
+    """All that the memories whose id is divisible by 50 share with any other."""
+    rows = memories(spark, d)
+    return G.partners(G.mentions(rows), rows.where("memory_id % 50 = 0").select(F.col("memory_id").alias("id")))
+
+
+@query(f"WITH {_EDGES} SELECT * FROM edges WHERE from_id % 50 = 0 OR to_id % 50 = 0")
+def chained_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the chains at the memories whose id is divisible by 50."""
     return G.related(_edges(spark, d), memories(spark, d).where("memory_id % 50 = 0").select(F.col("memory_id").alias("id")))
 
 
@@ -585,6 +676,31 @@ def second_page(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).select("memory_id", "title", "captured_at").orderBy(F.desc("captured_at"), "memory_id").offset(60).limit(60)
 
 
+@query(f"WITH {_MEMORIES} SELECT memory_id, title, captured_at FROM m ORDER BY title NULLS LAST, memory_id LIMIT 60 OFFSET 60")
+def second_page_by_title(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of the listing by title."""
+    return memories(spark, d).select("memory_id", "title", "captured_at").orderBy(F.asc_nulls_last("title"), "memory_id").offset(60).limit(60)
+
+
+@query(f"""WITH {_MEMORIES}, s AS (SELECT memory_id, list_filter({Q.sentences(Q.clean('body'))}, lambda x: length(x) > 24 AND length(x) < 260)[:6] AS s FROM m),
+  l AS (SELECT memory_id, generate_subscripts(s, 1) - 1 AS place, unnest(s) AS line FROM s)
+  SELECT memory_id, place, line, {" + ".join(f"CASE WHEN contains(lower(line), '{t}') THEN 1 ELSE 0 END" for t in _TERMS)} AS score FROM l""")
+def display_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The first six sentences of each memory that are neither short nor long, with the terms that each holds."""
+    shown = F.slice(F.filter(T.sentences(T.clean_text(F.col("body"))), lambda x: (F.length(x) > 24) & (F.length(x) < 260)), 1, 6)
+    lines = memories(spark, d).select("memory_id", F.posexplode(shown).alias("place", "line"))
+    return lines.withColumn("score", sum((F.contains(F.lower("line"), F.lit(t)).cast("int") for t in _TERMS), F.lit(0)))
+
+
+@query(f"""WITH {_NOTES}, w AS (SELECT note_id, t, count(*) AS n FROM (SELECT note_id, unnest({Q.content("concat_ws(' ', title, body)")}) AS t FROM n) WHERE length(t) >= 3 GROUP BY ALL),
+  r AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY n DESC, t) <= 12), k AS (SELECT note_id, string_agg(t, ' ' ORDER BY n DESC, t) AS k FROM r GROUP BY note_id)
+  SELECT note_id, coalesce(k, '') AS keywords, len({Q.tokens(Q.clean("concat_ws(chr(10), nullif(title, ''), nullif(source, ''), nullif(kind, ''), nullif(location, ''), nullif(url, ''), nullif(body, ''))"))}) AS tokens FROM n LEFT JOIN k USING (note_id)""")
+def finished_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The notes as documents: search text, tokens and keywords."""
+    rows = notes(spark, d).withColumn("text", S.search_text(**{p: F.col(p) for p in ("title", "source", "kind", "location", "url", "body")}))
+    return S.finish(rows, "note_id", ["title", "body"]).select("note_id", F.array_join("keywords", " ").alias("keywords"), F.size("tokens").alias("tokens"))
+
+
 @query("WITH r AS (SELECT kind, row_number() OVER (PARTITION BY note_id ORDER BY ingested_at) AS k, body FROM notes) SELECT kind, count_if(body IS NULL) AS error, count_if(body IS NOT NULL AND k = 1) AS created, count_if(body IS NOT NULL AND k > 1) AS skipped FROM r GROUP BY kind")
 def import_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """What came of each delivery of a note: created, skipped as already there, or an error without a body."""
@@ -592,6 +708,15 @@ def import_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.sum("e").alias("error"), F.sum(F.least("b", F.lit(1))).alias("created"), F.sum(F.greatest(F.col("b") - 1, F.lit(0))).alias("skipped"))
 
 
+@query("""WITH r AS (SELECT note_id, body, row_number() OVER (PARTITION BY note_id ORDER BY body) AS k FROM notes), h AS (SELECT DISTINCT note_id FROM memories WHERE note_id IS NOT NULL)
+  SELECT CASE WHEN body IS NULL THEN 'failed' WHEN h.note_id IS NOT NULL OR k > 1 THEN 'skipped' ELSE 'created' END AS outcome, count(*) AS n FROM r LEFT JOIN h USING (note_id) GROUP BY 1""")
+def seeded(spark: SparkSession, d: str) -> DataFrame:
+    """What comes of filling the memories with all notes."""
+    store = table(spark, d, "memories").where("note_id IS NOT NULL").select("note_id", "body")
+    _, outcomes = S.seed(store, table(spark, d, "notes").select("note_id", "body"), "note_id")
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT DISTINCT note_id, {_HASH} AS hash FROM notes")
 def streamed_notes(spark: SparkSession, d: str) -> DataFrame:
     """The notes as a stream of files, each note stored once."""

@@ -37,10 +37,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, but only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not (own := spark.conf.get("millrace.shared.dir", None)):
         own = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
         spark.conf.set("millrace.shared.dir", own)

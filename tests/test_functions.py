@@ -75,6 +75,6 @@ def test_routing(spark):
 
 
 @pytest.mark.parametrize(("q", "start", "label"), [("in 2024?", "2024-01-01", "in 2024"), ("notes of december", "2025-12-01", "in december"), ("yesterday", "2026-05-30", "yesterday"), ("today", "2026-05-31", "today"), ("three months ago", "2026-02-16", "3 months ago"), ("this year", "2026-01-01", "this year"), ("hello", None, None)])
-def test_time_window(q, start, label):
-    found = R.time_window(q, datetime(2026, 5, 31))
-    assert (found and (str(found[0].date()), found[2])) == (start and (start, label))
+def test_period(spark, q, start, label):
+    found = value(spark, R.period(F.col("q"), F.lit(datetime(2026, 5, 31))), q=q)
+    assert (found and (str(found["since"].date()), found["label"])) == (start and (start, label))
