@@ -1,7 +1,7 @@
 """Variant spellings of people and organisations (problem 4).
 
-Method: names become forms of sorted tokens; the tokens are blocked by phonetic codes; forms that share
-a blocked word and a key of what stands beside it are compared by Jaro-Winkler and by nicknames, from a table and by rule; accepted
+Method: names become forms of sorted tokens; the distinct words are blocked by phonetic codes and compared by Jaro-Winkler
+and by nicknames, from a table and by rule; forms that have one such pair of words, and another beside it, are compared whole; accepted
 pairs are clustered by connected components. A surname with an initial joins a cluster only where one person
 answers to it.
 """
@@ -59,7 +59,25 @@ def _partial(a: pd.Series) -> pd.Series:
     return a.map(names.is_partial)
 
 
-_TAGGED = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "word", "code")] + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("asks", "answers")]))
+@F.pandas_udf(T.BooleanType())
+def _same_beside(kinds: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([names.same_beside(k, x, y) for k, x, y in zip(kinds, a, b)], dtype=bool)
+
+
+_KEYS = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("asks", "answers")])
+
+
+@F.pandas_udf(_KEYS)
+def _beside_keys(kinds: pd.Series, words: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([names.beside_keys(k, w) for k, w in zip(kinds, words)], columns=["asks", "answers"])
+
+
+@F.pandas_udf(_KEYS)
+def _initial_keys(kinds: pd.Series, words: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([names.initial_keys(k, w) for k, w in zip(kinds, words)], columns=["asks", "answers"])
+
+
+_TAGGED = T.ArrayType(T.StructType([*[T.StructField(c, T.StringType()) for c in ("kind", "word", "beside")], T.StructField("asking", T.BooleanType())]))
 
 
 @F.pandas_udf(_TAGGED)
@@ -70,18 +88,17 @@ def _tags(forms: pd.Series) -> pd.Series:
         tell = set(names.telling(tokens))
         for i, t in enumerate(tokens):
             for j, u in enumerate(tokens):
-                asks, answers = names.beside_keys(kind, u)
                 if t in tell and i != j:
                     # a given name beside a surname tells no one apart: same_name compares by the surname
                     led = len(tokens) == 2 and t in names.FORMAL and len(u) > 1 and u not in names.FORMAL
-                    out[t, u] = {"kind": kind, "word": t, "code": names.phonetic(u), "asks": [] if led else asks, "answers": answers}
+                    out[t, u] = {"kind": kind, "word": t, "beside": u, "asking": not led}
         return [out[k] for k in sorted(out)]
 
     return forms.map(one)
 
 
 def _tagged(forms: DataFrame) -> DataFrame:
-    """``(form, kind, word, code, asks, answers)``: every word that may tell a form apart, with each neighbour's code and keys."""
+    """``(form, kind, word, beside, asking)``: every word that may tell a form apart, with each word beside it."""
     return forms.select("form", F.inline(_tags("form")))
 
 
@@ -93,13 +110,26 @@ def word_pairs(known: DataFrame, asked: DataFrame) -> DataFrame:
     return near.where(_same_word("asked", "known"))
 
 
+def beside_pairs(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``(kind, beside, other)``: words that may stand beside the telling ones and mean the same; worked out on distinct words, not on names."""
+    words = lambda df: df.where(F.length("beside") > 1).select("kind", "beside").distinct().withColumn("keys", _beside_keys("kind", "beside"))
+    a = words(asked.where("asking")).select("kind", "beside", F.explode("keys.asks").alias("key"))
+    k = words(known).select("kind", F.col("beside").alias("other"), F.explode("keys.answers").alias("key"))
+    return a.join(k, ["kind", "key"]).select("kind", "beside", "other").distinct().where(_same_beside("kind", "beside", "other"))
+
+
 def _candidates(asked: DataFrame, known: DataFrame, pairs: DataFrame, common: DataFrame) -> DataFrame:
-    """``(asked, known)``: pairs of forms that share a blocked word and a key of what stands beside it; the blocks of common words are salted."""
+    """``(asked, known)``: pairs of forms that share a telling word and one beside it, or an initial; the blocks of common words are salted."""
     hot = F.col("is_common").isNotNull()
-    k = known.join(common, "word", "left").select(F.col("form").alias("known"), "kind", F.col("word").alias("known_word"), F.explode("answers").alias("tag"), hot.alias("hot")).distinct()
+    beside = materialise(beside_pairs(asked, known))
+    word = lambda c: F.concat(F.lit("="), c)
+    k = known.join(common, "word", "left").select(F.col("form").alias("known"), "kind", F.col("word").alias("known_word"), F.explode(F.array_union(F.array(word("beside")), _initial_keys("kind", "beside")["answers"])).alias("tag"), hot.alias("hot")).distinct()
     k = k.select("known", "kind", "known_word", "tag", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    a = asked.join(pairs, asked["word"] == pairs["asked"]).join(common.withColumnRenamed("word", "known"), "known", "left")
-    a = a.select(F.col("form").alias("asked"), "kind", F.col("known").alias("known_word"), F.explode("asks").alias("tag"), F.when(hot, F.pmod(F.xxhash64("form"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")).distinct()
+    near = asked.where("asking").join(pairs, asked["word"] == pairs["asked"]).select("form", "kind", "beside", F.col("known").alias("word"))
+    full = near.join(beside, ["kind", "beside"]).select("form", "kind", "word", word("other").alias("tag"))
+    initial = near.select("form", "kind", "word", F.explode(_initial_keys("kind", "beside")["asks"]).alias("tag"))
+    a = full.unionByName(initial).join(common, "word", "left")
+    a = a.select(F.col("form").alias("asked"), "kind", F.col("word").alias("known_word"), "tag", F.when(hot, F.pmod(F.xxhash64("form"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")).distinct()
     return a.join(k, ["kind", "known_word", "tag", "salt"]).select("asked", "known").distinct()
 
 
@@ -108,7 +138,7 @@ def label_clusters(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     formed = materialise(labels.select("kind", "label", _form("kind", "label").alias("form")))
     forms = formed.where("form IS NOT NULL").select("form").distinct()
     tagged = materialise(_tagged(forms))
-    common = materialise(tagged.select("word", "code").distinct().groupBy("word").count().where(F.col("count") > COMMON).select("word", F.lit(True).alias("is_common")))
+    common = materialise(tagged.select("word", "beside").distinct().groupBy("word").count().where(F.col("count") > COMMON).select("word", F.lit(True).alias("is_common")))
     vocabulary = tagged.select("word").distinct()
     pairs = word_pairs(vocabulary, vocabulary)
     candidates = _candidates(tagged, tagged, pairs, common).where("asked < known")

@@ -8,9 +8,9 @@ from functools import lru_cache
 
 # Short and pet forms of given names that no rule below gives.
 NICKNAMES = {
-    "abigail": "gail abby abbie", "adelaide": "heidi", "agnes": "nessie", "albert": "bert bertie", "alexander": "alec sandy sasha xander lex", "alexandra": "sandra sandy sasha lexi", "alfred": "fred freddie",
+    "abigail": "gail abby abbie", "adelaide": "heidi", "agnes": "nessie", "albert": "bert bertie", "alexander": "alec sandro sandy sasha xander lex", "alexandra": "sandra sandy sasha lexi", "alfred": "fred freddie",
     "alice": "allie", "amelia": "millie emmy", "andrew": "drew", "angela": "angie", "ann": "nan nancy annie", "anthony": "tony ant", "archibald": "archie", "arthur": "art", "augustine": "gus augie austin", "barbara": "babs",
-    "barnabas": "barney", "bartholomew": "bat", "beatrice": "bea trixie", "benjamin": "benji benny", "bridget": "biddy bridie", "cameron": "cam", "caroline": "caro carrie lina", "catherine": "kate katie kathy kitty kit cathy kath",
+    "barnabas": "barney", "bartholomew": "bat", "beatrice": "bea trixie", "benjamin": "benji benny", "bridget": "biddy bridie", "cameron": "cam", "caroline": "caro carrie lina", "catherine": "cate kate katie kathy kitty kit cathy kath",
     "charles": "chuck chip charlie", "charlotte": "lottie charlie", "christina": "tina chris", "christine": "tina chris", "christopher": "kit topher kris", "clarence": "larry", "cornelius": "neil neels cor corrie", "cynthia": "cindy", "daniel": "dan danny",
     "daniella": "dani danni", "david": "dave", "deborah": "deb debbie", "dennis": "denny", "desmond": "dez des", "dominic": "nick", "donald": "don", "dorothy": "dot dottie dolly", "edmund": "ed ted eddie", "edward": "ed ted teddy ned eddie",
     "edwin": "ed eddie", "eleanor": "nell nellie nora ellie", "elizabeth": "betty betsy bess liz lizzie libby eliza lisa", "ellen": "nell", "emily": "em millie", "emmanuel": "manny", "ernest": "ernie", "eugene": "gene",
@@ -88,24 +88,25 @@ def initials_of(token: str) -> set[str]:
 
 @lru_cache(maxsize=100_000)
 def beside_keys(kind: str, token: str) -> tuple[list[str], list[str]]:
-    """The keys by which a word beside the one that tells a name apart asks and answers.
+    """The keys by which a word of two letters or more asks and answers beside the word that tells a name apart.
 
-    Words that ``same_name`` takes for the same have a key in common: known given names their formal names, others a
-    phonetic key, a name and its initial that initial, a trade and its short form their first letters. Initials and
-    short forms only meet longer words and their like, so that a letter brings no two full names together.
+    Words that ``same_beside`` takes for the same have a key in common: known given names their formal names, others a
+    phonetic key, short forms three letters that their name has in a row, a trade and its short form their first letters. By
+    these letters only short words meet longer ones.
     """
-    if len(token) == 1:
-        return [f"<{token}", f".{token}"], [f">{token}", f".{token}"]
     same = {f"={f}" for f in FORMAL.get(token, ())} if kind == "name" else set()
-    if len(token) >= 5:
+    if len(token) >= 4:
         same |= {f"~{k}" for k in phonetic_keys(token)}
     same.add(f"={token}")
-    if kind == "name":
-        same |= {f"^{token[:3]}", f"${token[-4:]}"}  # a short form by rule has its name's beginning or end
     asks, answers = set(same), set(same)
     if kind == "name":
-        asks |= {f">{c}" for c in initials_of(token)}
-        answers |= {f"<{c}" for c in initials_of(token)}
+        if 3 <= len(token) <= 6:
+            asks.add(f">^{token[:3]}")
+            answers.add(f"<^{token[:3]}")
+        if len(token) >= 5:
+            inner = {token[i : i + 3] for i in range(len(token) - 2)}
+            asks |= {f"<^{x}" for x in inner}
+            answers |= {f">^{x}" for x in inner}
     else:
         short = len(token) <= 4
         asks |= {f"^{token[:3]}", f">{token[0]}"} | ({f"<{token[0]}"} if short else set())
@@ -113,6 +114,16 @@ def beside_keys(kind: str, token: str) -> tuple[list[str], list[str]]:
     return sorted(asks), sorted(answers)
 
 
+@lru_cache(maxsize=100_000)
+def initial_keys(kind: str, token: str) -> tuple[list[str], list[str]]:
+    """The keys by which a name's initial and the words that it may stand for ask and answer; a letter brings no two full names together."""
+    if kind != "name":
+        return [], []
+    if len(token) == 1:
+        return [f"<{token}", f".{token}"], [f">{token}", f".{token}"]
+    return sorted(f">{c}" for c in initials_of(token)), sorted(f"<{c}" for c in initials_of(token))
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -161,12 +172,12 @@ def same_word(a: str, b: str) -> bool:
 
 
 def short_of(a: str, b: str) -> bool:
-    """``a`` is a short form of the given name ``b`` by rule: its beginning, also with y, ie, i or ey after it, or its end."""
+    """``a`` is a short form of the given name ``b`` by rule: its beginning, also with y, ie, i or ey after it, or four letters or more of its rest."""
     if not 3 <= len(a) <= 6 or len(b) < len(a) + 2:
         return False
     stem_ = re.sub("(?<=..)(ie|ey|y|i|e)$", "", a)
     stems = {a, stem_, stem_[:-1] if stem_[-1:] == stem_[-2:-1] else stem_}
-    return any(len(x) >= 3 and b.startswith(x) for x in stems) or len(a) >= 4 and b.endswith(a)
+    return any(len(x) >= 3 and b.startswith(x) for x in stems) or len(a) >= 4 and a in b[1:]
 
 
 @lru_cache(maxsize=200_000)
@@ -194,6 +205,11 @@ def same_trade(a: str, b: str) -> bool:
     return same_word(a, b) or abbreviates(a, b) or abbreviates(b, a)
 
 
+def same_beside(kind: str, a: str, b: str) -> bool:
+    """Whether two words beside those that tell names apart mean the same."""
+    return same_given(a, b) or same_word(a, b) if kind == "name" else same_trade(a, b)
+
+
 def _split(form_: str) -> tuple[list[str], list[str]]:
     tokens = form_.partition("|")[2].split(" ")
     return [t for t in tokens if len(t) > 1], [t for t in tokens if len(t) == 1]
