@@ -266,8 +266,8 @@ def compose(ranked: DataFrame, questions: DataFrame, docs: DataFrame, now: Colum
     more = some(F.concat(F.lit("everything about "), _head(top["keywords"])), F.concat(F.lit("who is "), _of_type(F.col("found"), "name")["label"], F.lit("?")), F.concat(F.lit("show "), phone), F.when(top["location"] != "", F.concat(top["location"], F.lit(" memories"))))
     sure = confidence(top["semantic"], top["keyword"], top["coverage"], top["entity"])
     return rows.select(
-        "query_id", fallback.alias("headline"), "kind", F.coalesce("bullets", F.slice(bullets, 1, 0)).alias("bullets"), F.coalesce(F.transform(F.slice("hits", 1, 3), quote), F.array().cast("array<struct<doc_id:bigint,title:string,score:double,reasons:array<string>,quote:string>>")).alias("evidence"),
-        entity_trail(F.coalesce("found", none)).alias("trail"), F.coalesce(sure, F.lit(0.0)).alias("confidence"), F.when(top.isNotNull(), notes).otherwise(F.array().cast("array<string>")).alias("notes"), F.slice(more, 1, 3).alias("follow_ups"),
+        "query_id", fallback.alias("headline"), "kind", F.coalesce("bullets", F.array().cast("array<struct<text:string,doc_id:bigint,title:string,why:string>>")).alias("bullets"), F.coalesce(F.transform(F.slice("hits", 1, 3), quote), F.array().cast("array<struct<doc_id:bigint,title:string,score:double,reasons:array<string>,quote:string>>")).alias("evidence"),
+        entity_trail(F.coalesce("found", none)).alias("trail"), F.when(top.isNotNull(), sure).otherwise(0.0).alias("confidence"), F.when(top.isNotNull(), notes).otherwise(F.array().cast("array<string>")).alias("notes"), F.slice(more, 1, 3).alias("follow_ups"),
     )
 
 
