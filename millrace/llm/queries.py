@@ -70,7 +70,7 @@ _LOOKS_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS source_table, {key
 
 def _scanned(spark: SparkSession, sf_dir: str) -> ScannedPages:
     # pages are recognised images that are no screenshots and that no manifest describes
-    is_scan = (F.col("text_source") == "ocr") & (F.col("kind") != "screenshot") & F.col("item_id").isNull() & F.col("note_id").isNull()
+    is_scan = (F.col("text_source") == "ocr") & (F.coalesce("kind", F.lit("")) != "screenshot") & F.col("item_id").isNull() & F.col("note_id").isNull()
     return ScannedPages(table(spark, sf_dir, "memories"), is_scan)
 
 
