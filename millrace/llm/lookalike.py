@@ -140,12 +140,19 @@ def unit_counts(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(text_col).mapInArrow(_count_units, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def _spelt(m: str) -> bool:
+    """Whether a composed member is written in several letters, with or without blanks between them."""
+    return len(m) > 1 and m[0] != " " and all(unicodedata.category(c)[0] == "L" or c == " " for c in m)
+
+
 def rewrites(counts: dict[str, int]) -> dict[str, str]:
     """For each member its class's representative: the most frequent one, then the shortest, then the first in
     code point order; for what has no width the empty string.
 
     Members that only differ in composition count together and are represented composed. All ligatures are decided
-    together, as they hold each other: letters, unless the corpus has more ligatures than their letters.
+    together, as they hold each other: letters, unless the corpus has more ligatures than their letters. Other signs that
+    stand for several letters, such as Roman numerals, are spelt out, as their letters are members of classes of their own:
+    how often each letter occurs decides.
     """
     signs = sum(counts.get(s, 0) for s in LIGATURES.values())
     letters = sum(counts.get(s, 0) for s in LIGATURES)
@@ -159,7 +166,8 @@ def rewrites(counts: dict[str, int]) -> dict[str, str]:
             best = LIGATURES[own[0]] if signs > letters else own[0]
         else:
             marks = [m for m in members if len(m) == 1 and unicodedata.combining(m)]  # a mark that stands alone would never compose
-            best = "" if "" in members else marks[0] if marks else min(weight, key=lambda m: (-weight[m], len(m), m))
+            spelt = [m for m in weight if _spelt(m)]
+            best = "" if "" in members else marks[0] if marks else min(spelt or weight, key=lambda m: (-weight[m], len(m), m))
         out |= {m: best for m in members if m != best}
     return out
 

@@ -49,6 +49,17 @@ def test_lookalike_representative_follows_frequency():
     assert once == "ffi é é l1I" == lookalike.rewrite(once, automaton)
 
 
+def test_numerals_are_spelt_out(spark):
+    df = spark.createDataFrame([(1, "LUDOVICA Ⅷ é"), (2, "LUDOⅥCA ⅧI é"), (3, "LUDOVICA VIII é"), (4, "plain II, III and XIV"), (5, "ⅡI, ⅠⅠⅠ and III")], "id bigint, body string")
+    table = lookalike.learn_rewrites([(df, "body")])
+    assert not any(m.isascii() for m in table)
+    forms = {r["id"]: r["canonical"] for r in lookalike.canonical_text(df, "body", table=table).collect()}
+    assert forms == {1: "LUDOVICA VIII é", 2: "LUDOVICA VIIII é", 3: "LUDOVICA VIII é", 4: "plain II, III and XIV", 5: "III, III and III"}
+    assert rows(lookalike.lookalike_pairs(df, "id", "body", table)) == [(1, 3)]
+    many = lookalike.rewrites({"Ⅰ": 9, "I": 2, "V": 5})  # the letters of a numeral follow their own classes
+    assert lookalike.rewrite("Ⅵ VI", lookalike._automaton(many)) == "VⅠ VⅠ"
+
+
 # ---- problem 5
 
 
