@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.text import clean_text, join_wrapped_lines, title_from_lines, truncate
 from millrace.operators.store import content_hash, document_id, mime_type, present
@@ -26,13 +26,26 @@ def read_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select(F.explode("items").alias("i")).select("i.*").withColumn("captured_at", F.try_to_timestamp("capturedAt")).drop("capturedAt")
 
 
-def image_files(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """``(path, modificationTime, length, content)`` of the images below ``folder``, newest first; hidden files and build folders are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{EXTENSIONS},{EXTENSIONS.upper()}}}").load(folder)
+def image_files(spark: SparkSession, folder: str, limit: int | None = None, every: bool = False) -> DataFrame:
+    """``(path, modificationTime, length, content)`` of the images below ``folder``, the ``limit`` newest if given, else all in no order.
+
+    Hidden files and build folders are left out; with ``every`` other files come too, which :func:`recognise` reports. Which are the
+    newest is told by their paths and times alone; only the chosen ones are read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (files if every else files.option("pathGlobFilter", f"*.{{{EXTENSIONS},{EXTENSIONS.upper()}}}")).load(folder)
     inside = F.substring("path", F.length(F.lit(folder.rstrip("/"))) + F.position(F.lit(folder.rstrip("/").removeprefix("file://")), F.col("path")), F.lit(10_000))
     kept = files.where(~inside.rlike(rf"/(\.[^/]*|{SKIPPED})(/|$)"))
-    ordered = kept.orderBy(F.desc("modificationTime"), "path")
-    return ordered.limit(limit) if limit else ordered
+    if not limit:
+        return kept
+    newest = kept.select("path", "modificationTime").orderBy(F.desc("modificationTime"), "path").limit(limit)
+    return kept.join(newest.select("path"), "path", "left_semi")
+
+
+def is_image(name: Column, mime: Column | None = None) -> Column:
+    """Whether a file is an image, by its type if there is one, or its extension."""
+    by_name = F.coalesce(name.rlike(rf"(?i)\.({EXTENSIONS.replace(',', '|')})$"), F.lit(False))
+    return by_name if mime is None else F.coalesce(mime.startswith("image/"), F.lit(False)) | by_name
 
 
 class OcrEngine(Protocol):
@@ -42,35 +55,51 @@ class OcrEngine(Protocol):
         """The lines of an image with their confidence; raises where it can't be read."""
 
 
-RECOGNISED = T.StructType([T.StructField("path", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("size", T.LongType()), T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("confidence", T.DoubleType())])
+RECOGNISED = "path string, hash string, size bigint, status string, error string, lines array<string>, confidence double, ms int"
 
 
 def recognise(images: DataFrame, open_engine, stored: DataFrame | None = None) -> DataFrame:
-    """Memories of images: ``id, hash, name, title, mime_type, size, body, confidence, status, error``.
+    """Memories of images: ``id, hash, name, title, mime_type, size, body, confidence, ms, status, error``, a row an image.
 
-    An image whose digest is in ``stored`` is skipped before it is read; one that can't be read gets the status error, and the
-    rest go on. ``open_engine`` makes an :class:`OcrEngine` in each task.
+    The status is created, or skipped where ``stored`` has the image's ``id`` and ``hash`` (it isn't read then), or error where
+    it is no image or can't be read; the rest go on. ``images`` may have a ``mime_type``. ``open_engine`` makes an
+    :class:`OcrEngine` in each task.
     """
-    hashed = images.select("path", F.sha1("content").alias("hash"), F.col("length").alias("size"), "content")
-    fresh = hashed.join(stored.select("hash").distinct(), "hash", "left_anti") if stored is not None else hashed
+    digest = F.sha1("content")
+    fits = is_image(F.col("path"), F.col("mime_type") if "mime_type" in images.columns else None)
+    todo = images.select("path", digest.alias("hash"), F.col("length").alias("size"), "content", fits.alias("fits"))
+    if stored is None:
+        todo = todo.withColumn("held", F.lit(False))
+    else:
+        known = stored.where(F.col("id") == document_id(F.col("hash"))).select("hash", F.lit(True).alias("held")).distinct()
+        todo = todo.join(known, "hash", "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = open_engine()
+        engine = None
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                try:
-                    found = engine.read(bytes(r.content))
-                    sure = [c for t, c in found if c >= 55 and any(x.isalnum() for x in t)] or [c for _, c in found]
-                    out.append((r.path, r.hash, r.size, "created", None, [t for t, _ in found], round(sum(sure) / len(sure), 1) if sure else None))
-                except Exception as e:  # noqa: BLE001
-                    out.append((r.path, r.hash, r.size, "error", str(e)[:200], None, None))
-            yield pd.DataFrame(out, columns=RECOGNISED.names)
+                if not r.fits:
+                    out.append((r.path, r.hash, r.size, "error", "not an image", None, None, None))
+                elif r.held:
+                    out.append((r.path, r.hash, r.size, "skipped", None, None, None, None))
+                else:
+                    engine = engine or open_engine()
+                    began = time.monotonic()
+                    try:
+                        found = engine.read(bytes(r.content))
+                        sure = [c for t, c in found if c >= 55 and any(x.isalnum() for x in t)] or [c for _, c in found]
+                        ms = round(1000 * (time.monotonic() - began))
+                        out.append((r.path, r.hash, r.size, "created", None, [t for t, _ in found], round(sum(sure) / len(sure), 1) if sure else None, ms))
+                    except Exception as e:  # noqa: BLE001
+                        out.append((r.path, r.hash, r.size, "error", str(e)[:200], None, None, None))
+            rows = pd.DataFrame(out, columns=["path", "hash", "size", "status", "error", "lines", "confidence", "ms"])
+            yield rows.astype({"confidence": "Float64", "ms": "Int32"})
 
     lines = F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda x: clean_text(F.regexp_replace(x, r"^[\s•·*»>-]+", "")))
     name = F.element_at(F.split("path", "/"), -1)
-    rows = fresh.select("path", "hash", "size", "content").mapInPandas(run, RECOGNISED).withColumn("body", join_wrapped_lines(F.array_join(F.filter(lines, lambda x: x != ""), "\n")))
-    return rows.select(document_id(F.col("hash")).alias("id"), "hash", name.alias("name"), F.coalesce(title_from_lines(F.col("body")), name).alias("title"), mime_type(name).alias("mime_type"), "size", "body", "confidence", "status", "error")
+    rows = todo.select("path", "hash", "size", F.when(F.col("fits") & ~F.col("held"), F.col("content")).alias("content"), "fits", "held").mapInPandas(run, RECOGNISED).withColumn("body", join_wrapped_lines(F.array_join(F.filter(lines, lambda x: x != ""), "\n")))
+    return rows.select(document_id(F.col("hash")).alias("id"), "hash", name.alias("name"), F.coalesce(title_from_lines(F.col("body")), name).alias("title"), mime_type(name).alias("mime_type"), "size", "body", "confidence", "ms", "status", "error")
 
 
 def import_texts(rows: DataFrame) -> DataFrame:

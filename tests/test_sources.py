@@ -1,4 +1,7 @@
 import json
+import os
+
+from pyspark.sql import functions as F
 
 from millrace.sources.files import NOTE, image_files, import_texts, read_items, recognise
 from millrace.streaming.ingest import ingest_stream
@@ -26,8 +29,20 @@ def test_images(spark, tmp_path):
     got = {r["name"]: (r["status"], r["title"], r["mime_type"]) for r in recognise(images, Reader).collect()}
     assert got == {"one.png": ("created", "Cheap Flights Express", "image/png"), "same.png": ("created", "Cheap Flights Express", "image/png"), "two.JPG": ("error", "two.JPG", "image/jpeg")}
     stored = recognise(images, Reader).where("name = 'one.png'")
-    assert [r["name"] for r in recognise(images, Reader, stored).collect()] == ["two.JPG"]
-    assert image_files(spark, str(tmp_path), 1).count() == 1
+    again = {r["name"]: (r["status"], r["error"], r["body"]) for r in recognise(image_files(spark, str(tmp_path), every=True), Reader, stored).collect()}
+    assert again == {"one.png": ("skipped", None, ""), "same.png": ("skipped", None, ""), "two.JPG": ("error", "no image", ""), "z.txt": ("error", "not an image", "")}
+    other = {r["name"]: r["status"] for r in recognise(images, Reader, stored.withColumn("id", F.lit("doc_else"))).collect()}
+    assert other == {"one.png": "created", "same.png": "created", "two.JPG": "error"}  # the digest alone doesn't make it the same record
+    typed = recognise(image_files(spark, str(tmp_path), every=True).withColumn("mime_type", F.lit("image/png")), Reader)
+    assert {r["name"]: r["status"] for r in typed.collect()}["z.txt"] == "created"
+    assert image_files(spark, str(tmp_path), 1).count() == 1 and recognise(images.limit(0), Reader).count() == 0
+
+
+def test_newest_images_are_told_without_their_content(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.png").write_bytes(b"x" * i)
+        os.utime(tmp_path / f"{i}.png", (1_000_000 + i, 1_000_000 + i))
+    assert {r["path"].rsplit("/", 1)[1] for r in image_files(spark, str(tmp_path), 2).collect()} == {"3.png", "4.png"}
 
 
 def test_import_texts(spark):
