@@ -148,6 +148,11 @@ def sentences(c: Column) -> Column:
     return F.filter(parts, lambda s: F.length(s) > 1)
 
 
+def display_lines(c: Column) -> Column:
+    """The first six sentences of a text that are neither short nor long, as a reader is shown them."""
+    return F.slice(F.filter(sentences(clean_text(c)), lambda x: (F.length(x) > 24) & (F.length(x) < 260)), 1, 6)
+
+
 def term_coverage(query: Column, document: Column) -> Column:
     """The share of the query's distinct stems, of more than one character, that the document's tokens hold; 0 without any."""
     q = F.array_distinct(F.filter(stems(query), lambda t: F.length(t) > 1))
@@ -180,6 +185,29 @@ def snippet(body: Column, terms: Column, length: int = 220) -> Column:
     return let(flat, lambda t: let(F.struct(t.alias("text"), strip_accents(F.lower(t)).alias("lower"), wanted.alias("wanted")), cut))
 
 
+def highlight_ranges(c: Column, terms: Column) -> Column:
+    """Where the terms of more than one character stand in ``c``, whatever case and accents: ``array<struct<start, end>>`` in order,
+    from 0, the end excluded; ranges that overlap or touch are one. Empty for null and without terms. Meant for snippets: the work
+    grows with the square of the ranges of one text."""
+    wanted = F.filter(F.array_distinct(F.coalesce(terms, F.array().cast("array<string>"))), lambda t: F.length(t) > 1)
+
+    def occurrences(lower: Column, t: Column) -> Column:
+        # a text split at a term has its pieces' lengths between the term's places
+        pieces = F.transform(F.split(lower, F.regexp_replace(t, r"([^\w])", r"\\$1"), F.lit(-1)), lambda p: F.length(p))
+        before = lambda ps: F.transform(F.sequence(F.lit(1), F.size(ps) - 1), lambda i: F.aggregate(F.slice(ps, F.lit(1), i), F.lit(0), lambda a, n: a + n) + (i - 1) * F.length(t))
+        starts = let(pieces, lambda ps: F.when(F.size(ps) > 1, before(ps)).otherwise(F.array().cast("array<int>")))
+        return F.transform(starts, lambda at: F.struct(at.alias("start"), (at + F.length(t)).alias("end")))
+
+    def merge(out: Column, r: Column) -> Column:
+        last = F.element_at(out, -1)
+        wider = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end")))
+        goes_on = (F.size(out) > 0) & (r["start"] <= last["end"])
+        return F.when(goes_on, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), wider)).otherwise(F.concat(out, F.array(r)))
+
+    found = let(F.struct(strip_accents(F.lower(F.coalesce(c, F.lit("")))).alias("lower"), wanted.alias("wanted")), lambda x: F.flatten(F.transform(x["wanted"], lambda t: occurrences(x["lower"], t))))
+    return F.aggregate(F.array_sort(found), F.array().cast("array<struct<start: int, end: int>>"), merge)
+
+
 def highlight(c: Column, terms: list[str]) -> Column:
     """``c`` with every term of more than two characters in ``<mark>`` tags, the longest first."""
     long = sorted({t.lower() for t in terms if len(t) > 2 and t.isalnum()}, key=lambda t: (-len(t), t))

@@ -141,17 +141,36 @@ _TERMS = ["warranty", "battery", "saturday"]
 _HITS = " + ".join(f"CASE WHEN contains(substring(lower, i + 1, 220), '{t}') THEN 1 ELSE 0 END" for t in _TERMS)
 
 
-@query(f"""WITH {_NOTES}, a AS (SELECT note_id, regexp_replace({Q.clean('body')}, '\\n+', ' · ', 'g') AS text FROM n),
+_SNIPPETS = f"""a AS (SELECT note_id, regexp_replace({Q.clean('body')}, '\\n+', ' · ', 'g') AS text FROM n),
   b AS (SELECT note_id, text, {Q.fold('lower(text)')} AS lower FROM a),
   c AS (SELECT *, unnest(range(0, greatest(length(lower), 1), 12)) AS i FROM b),
   e AS (SELECT note_id, text, i FROM c QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY {_HITS} DESC, i) = 1),
   f AS (SELECT note_id, text, greatest(i - 40, 0) AS start, least(greatest(i - 40, 0) + 220, length(text)) AS stop FROM e),
-  g AS (SELECT *, strpos(substring(text, stop + 1, 24), ' ') AS gap FROM f)
-  SELECT note_id, {Q.trimmed("substring(text, start + 1, CASE WHEN stop < length(text) AND gap > 0 THEN stop + gap - 1 ELSE stop END - start)")} AS snippet FROM g""")
+  g AS (SELECT *, strpos(substring(text, stop + 1, 24), ' ') AS gap FROM f),
+  h AS (SELECT note_id, {Q.trimmed("substring(text, start + 1, CASE WHEN stop < length(text) AND gap > 0 THEN stop + gap - 1 ELSE stop END - start)")} AS snippet FROM g)"""
+
+
+@query(f"WITH {_NOTES}, {_SNIPPETS} SELECT note_id, snippet FROM h")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     return notes(spark, d).select("note_id", T.snippet(F.col("body"), F.array(*map(F.lit, _TERMS))).alias("snippet"))
 
 
+#: Terms of which some lie within or beside others.
+_MARKS = ["warranty", "battery", "saturday", "day", "bat"]
+
+
+@query(f"""WITH {_NOTES}, {_SNIPPETS}, l AS (SELECT note_id, {Q.fold('lower(snippet)')} AS lower FROM h),
+  p AS (SELECT note_id, lower, t, unnest(range(0, length(lower))) AS i FROM l, (SELECT unnest([{Q.words(_MARKS)}]) AS t)),
+  o AS (SELECT DISTINCT note_id, unnest(range(i, i + length(t))) AS pos FROM p WHERE substring(lower, i + 1, length(t)) = t),
+  k AS (SELECT note_id, pos, pos - row_number() OVER (PARTITION BY note_id ORDER BY pos) AS run FROM o)
+  SELECT note_id, min(pos) AS range_start, max(pos) + 1 AS range_end FROM k GROUP BY note_id, run""")
+def snippet_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Where the terms stand in the snippets."""
+    shown = T.snippet(F.col("body"), F.array(*map(F.lit, _TERMS)))
+    found = notes(spark, d).select("note_id", F.explode(T.highlight_ranges(shown, F.array(*map(F.lit, _MARKS)))).alias("r"))
+    return found.select("note_id", F.col("r.start").cast("bigint").alias("range_start"), F.col("r.end").cast("bigint").alias("range_end"))
+
+
 @query(f"WITH {_NOTES} SELECT note_id, regexp_replace(title, '(?i)(saturday|warranty|battery)', '<mark>\\1</mark>', 'g') AS shown FROM n")
 def highlight_titles(spark: SparkSession, d: str) -> DataFrame:
     return notes(spark, d).select("note_id", T.highlight(F.col("title"), _TERMS).alias("shown"))
@@ -583,6 +602,23 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).select("memory_id", "title", "kind", "source", T.truncate(deck, 240).alias("deck"), T.truncate(T.clean_text(F.col("body")), 4000).alias("body"), first.alias("entities"))
 
 
+@query(f"""WITH {_MEMORIES}, w AS (SELECT memory_id, t, count(*) AS n FROM (SELECT memory_id, unnest({Q.content("concat_ws(' ', title, caption, body)")}) AS t FROM m) WHERE length(t) >= 3 GROUP BY ALL),
+  r AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY n DESC, t) <= 6), k AS (SELECT memory_id, string_agg(t, ' ' ORDER BY n DESC, t) AS k FROM r GROUP BY memory_id),
+  x AS (SELECT memory_id, regexp_replace({Q.clean("coalesce(nullif(body, ''), nullif(caption, ''), title, '')")}, '\\n+', ' · ', 'g') AS text FROM m),
+  c AS (SELECT memory_id, {Q.trimmed("substring(text, 1, 190 + CASE WHEN length(text) > 190 THEN greatest(strpos(substring(text, 191, 24), ' ') - 1, 0) ELSE 0 END)")} AS snippet FROM x)
+  SELECT memory_id, coalesce(k, '') AS keywords, snippet, coalesce(array_to_string(list_filter({Q.sentences(Q.clean("coalesce(body, '')"))}, lambda x: length(x) > 24 AND length(x) < 260)[:6], chr(10)), '') AS sentences,
+    coalesce(array_to_string(list_transform(embedding_preview[:12], lambda v: CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR)), ' '), '') AS vector_thousandths FROM m LEFT JOIN k USING (memory_id) JOIN c USING (memory_id)""")
+def card_details(spark: SparkSession, d: str) -> DataFrame:
+    """What a card unfolds to: six keywords, the text's beginning, the sentences shown, and the first twelve numbers of the vector."""
+    words = F.array_join(S.top_words(F.concat_ws(" ", "title", "caption", "body"), 6), " ")
+    first = F.coalesce(S.present(F.col("body")), S.present(F.col("caption")), F.col("title"), F.lit(""))
+    numbers = F.array_join(F.transform(F.slice("embedding_preview", 1, 12), lambda v: F.round(v * 1000).cast("bigint").cast("string")), " ")
+    return memories(spark, d).select(
+        "memory_id", words.alias("keywords"), T.snippet(first, F.array().cast("array<string>"), 190).alias("snippet"),
+        F.array_join(T.display_lines(F.col("body")), "\n").alias("sentences"), F.coalesce(numbers, F.lit("")).alias("vector_thousandths"),
+    )
+
+
 # ---- answers
 
 
@@ -687,8 +723,7 @@ def second_page_by_title(spark: SparkSession, d: str) -> DataFrame:
   SELECT memory_id, place, line, {" + ".join(f"CASE WHEN contains(lower(line), '{t}') THEN 1 ELSE 0 END" for t in _TERMS)} AS score FROM l""")
 def display_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The first six sentences of each memory that are neither short nor long, with the terms that each holds."""
-    shown = F.slice(F.filter(T.sentences(T.clean_text(F.col("body"))), lambda x: (F.length(x) > 24) & (F.length(x) < 260)), 1, 6)
-    lines = memories(spark, d).select("memory_id", F.posexplode(shown).alias("place", "line"))
+    lines = memories(spark, d).select("memory_id", F.posexplode(T.display_lines(F.col("body"))).alias("place", "line"))
     return lines.withColumn("score", sum((F.contains(F.lower("line"), F.lit(t)).cast("int") for t in _TERMS), F.lit(0)))
 
 

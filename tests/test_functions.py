@@ -78,3 +78,30 @@ def test_routing(spark):
 def test_period(spark, q, start, label):
     found = value(spark, R.period(F.col("q"), F.lit(datetime(2026, 5, 31))), q=q)
     assert (found and (str(found["since"].date()), found["label"])) == (start and (start, label))
+
+
+@pytest.mark.parametrize(
+    ("text", "terms", "want"),
+    [
+        ("Saturday is a day, SATURDAY!", ["saturday", "day"], [(0, 8), (14, 17), (19, 27)]),
+        ("aaaaa b", ["aa"], [(0, 4)]),
+        ("battery", ["bat", "ter"], [(0, 6)]),
+        ("a+b (c) a+b", ["a+b", "(c)"], [(0, 3), (4, 7), (8, 11)]),
+        ("Crème brûlée", ["creme", "e"], [(0, 5)]),
+        ("nothing", ["x1", ""], []),
+        ("", ["ab"], []),
+        (None, ["ab"], []),
+        ("some", [], []),
+        ("xyxy", ["xy", "xy"], [(0, 4)]),
+    ],
+)
+def test_highlight_ranges(spark, text, terms, want):
+    df = spark.createDataFrame([(text, terms)], "s string, t array<string>")
+    got = df.select(T.highlight_ranges(F.col("s"), F.col("t")).alias("r")).first()["r"]
+    assert [(r["start"], r["end"]) for r in got] == want
+
+
+def test_display_lines(spark):
+    body = " ".join(f"Sentence number {i} is long enough to show." for i in range(9)) + " Short one. " + "Long " * 60 + "end."
+    assert value(spark, T.display_lines(F.col("s")), s=body) == [f"Sentence number {i} is long enough to show." for i in range(6)]
+    assert value(spark, T.display_lines(F.lit(None).cast("string"))) == []
