@@ -60,3 +60,9 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert first[:2] == [(1, "a"), (2, "b")]
     spark.createDataFrame([(2, "again"), (3, "c")], "k int, v string").write.mode("append").parquet(f"{source}/1")
     assert set(flat()) >= {(1, "a"), (2, "b"), (3, "c")} and len([k for k, _ in flat() if k == 2]) == 1
+    spark.createDataFrame([(None, "n"), (None, "n"), (3, "late")], "k int, v string").write.mode("append").parquet(f"{source}/1")
+    third = {(r["k"], r["v"]) for r in ingest_stream(spark, f"{source}/1", "k", store).collect()}
+    assert (None, "n") in third and (3, "late") not in third
+    spark.createDataFrame([(None, "n again"), (4, "d")], "k int, v string").write.mode("append").parquet(f"{source}/1")
+    last = [(r["k"], r["v"]) for r in ingest_stream(spark, f"{source}/1", "k", store).collect()]
+    assert (4, "d") in last and [v for k, v in last if k is None] == ["n"]
