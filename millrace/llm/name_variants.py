@@ -3,7 +3,8 @@
 Method: names become forms of sorted tokens; the distinct words are blocked by phonetic codes and compared by Jaro-Winkler
 and by nicknames, from a table and by rule; forms that have one such pair of words, and another beside it, are compared whole; accepted
 pairs are clustered by connected components. A surname with an initial joins a cluster only where one person
-answers to it.
+answers to it. Words, names and titles grow with the input, so no side of a join is broadcast, and results that are used
+twice are written, which keeps the driver's plans small.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from millrace.llm import names
 from millrace.operators.components import connected_components
-from millrace.session import materialise, salted_join
+from millrace.session import materialise, merged, salted_join
 
 #: The block of a word with more different neighbours than this is spread over this many sub-keys.
 COMMON, SALTS = 60, 8
@@ -106,7 +107,7 @@ def word_pairs(known: DataFrame, asked: DataFrame) -> DataFrame:
     """``(asked, known)``: words equal or close; both inputs are distinct ``word`` columns."""
     k = known.select(F.col("word").alias("known"), F.explode(_keys("word")).alias("key"))
     a = asked.select(F.col("word").alias("asked"), F.explode(_keys("word")).alias("key"))
-    near = a.join(k, "key").where(F.abs(F.length("asked") - F.length("known")) <= 2).select("asked", "known").distinct()
+    near = a.join(merged(k), "key").where(F.abs(F.length("asked") - F.length("known")) <= 2).select("asked", "known").distinct()
     return near.where(_same_word("asked", "known"))
 
 
@@ -115,7 +116,7 @@ def beside_pairs(asked: DataFrame, known: DataFrame) -> DataFrame:
     words = lambda df: df.where(F.length("beside") > 1).select("kind", "beside").distinct().withColumn("keys", _beside_keys("kind", "beside"))
     a = words(asked.where("asking")).select("kind", "beside", F.explode("keys.asks").alias("key"))
     k = words(known).select("kind", F.col("beside").alias("other"), F.explode("keys.answers").alias("key"))
-    return a.join(k, ["kind", "key"]).select("kind", "beside", "other").distinct().where(_same_beside("kind", "beside", "other"))
+    return a.join(merged(k), ["kind", "key"]).select("kind", "beside", "other").distinct().where(_same_beside("kind", "beside", "other"))
 
 
 def _candidates(asked: DataFrame, known: DataFrame, pairs: DataFrame, common: DataFrame) -> DataFrame:
@@ -123,14 +124,14 @@ def _candidates(asked: DataFrame, known: DataFrame, pairs: DataFrame, common: Da
     hot = F.col("is_common").isNotNull()
     beside = materialise(beside_pairs(asked, known))
     word = lambda c: F.concat(F.lit("="), c)
-    k = known.join(common, "word", "left").select(F.col("form").alias("known"), "kind", F.col("word").alias("known_word"), F.explode(F.array_union(F.array(word("beside")), _initial_keys("kind", "beside")["answers"])).alias("tag"), hot.alias("hot")).distinct()
+    k = known.join(merged(common), "word", "left").select(F.col("form").alias("known"), "kind", F.col("word").alias("known_word"), F.explode(F.array_union(F.array(word("beside")), _initial_keys("kind", "beside")["answers"])).alias("tag"), hot.alias("hot")).distinct()
     k = k.select("known", "kind", "known_word", "tag", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    near = asked.where("asking").join(pairs, asked["word"] == pairs["asked"]).select("form", "kind", "beside", F.col("known").alias("word"))
-    full = near.join(beside, ["kind", "beside"]).select("form", "kind", "word", word("other").alias("tag"))
+    near = asked.where("asking").join(merged(pairs.select(F.col("asked").alias("word"), F.col("known").alias("known_word"))), "word").select("form", "kind", "beside", F.col("known_word").alias("word"))
+    full = near.join(merged(beside), ["kind", "beside"]).select("form", "kind", "word", word("other").alias("tag"))
     initial = near.select("form", "kind", "word", F.explode(_initial_keys("kind", "beside")["asks"]).alias("tag"))
-    a = full.unionByName(initial).join(common, "word", "left")
+    a = full.unionByName(initial).join(merged(common), "word", "left")
     a = a.select(F.col("form").alias("asked"), "kind", F.col("word").alias("known_word"), "tag", F.when(hot, F.pmod(F.xxhash64("form"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")).distinct()
-    return a.join(k, ["kind", "known_word", "tag", "salt"]).select("asked", "known").distinct()
+    return a.join(merged(k), ["kind", "known_word", "tag", "salt"]).select("asked", "known").distinct()
 
 
 def label_clusters(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -140,17 +141,17 @@ def label_clusters(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     tagged = materialise(_tagged(forms))
     common = materialise(tagged.select("word", "beside").distinct().groupBy("word").count().where(F.col("count") > COMMON).select("word", F.lit(True).alias("is_common")))
     vocabulary = tagged.select("word").distinct()
-    pairs = word_pairs(vocabulary, vocabulary)
+    pairs = materialise(word_pairs(vocabulary, vocabulary))
     candidates = _candidates(tagged, tagged, pairs, common).where("asked < known")
     edges = materialise(candidates.where(_same_name("asked", "known")).withColumn("ap", _partial("asked")).withColumn("kp", _partial("known")))
     full = connected_components(edges.where("NOT ap AND NOT kp").select("asked", "known").unionByName(forms.where(~_partial("form")).select(F.col("form").alias("asked"), F.col("form").alias("known"))), "asked", "known")
     full = materialise(full.withColumnsRenamed({"node": "form", "component": "cluster"}))
     # a surname with initials: the clusters of full names it may stand for
     half = edges.where("ap <> kp").select(F.when(F.col("ap"), F.col("asked")).otherwise(F.col("known")).alias("part"), F.when(F.col("ap"), F.col("known")).otherwise(F.col("asked")).alias("form"))
-    answers = half.join(full, "form").groupBy("part").agg(F.count_distinct("cluster").alias("n"), F.min("cluster").alias("cluster"))
+    answers = half.join(merged(full), "form").groupBy("part").agg(F.count_distinct("cluster").alias("n"), F.min("cluster").alias("cluster"))
     answers = materialise(answers)
-    loose = edges.where("ap AND kp").join(answers.select(F.col("part").alias("asked")), "asked", "left_anti").join(answers.select(F.col("part").alias("known")), "known", "left_anti")
-    lone = forms.where(_partial("form")).join(answers.select(F.col("part").alias("form")), "form", "left_anti")
+    loose = edges.where("ap AND kp").join(merged(answers.select(F.col("part").alias("asked"))), "asked", "left_anti").join(merged(answers.select(F.col("part").alias("known"))), "known", "left_anti")
+    lone = forms.where(_partial("form")).join(merged(answers.select(F.col("part").alias("form"))), "form", "left_anti")
     rest = connected_components(loose.select("asked", "known").unionByName(lone.select(F.col("form").alias("asked"), F.col("form").alias("known"))), "asked", "known")
     one = answers.select(F.col("part").alias("form"), F.when(F.col("n") == 1, F.col("cluster")).otherwise(F.col("part")).alias("cluster"))
     clusters = full.unionByName(one).unionByName(rest.select(F.col("node").alias("form"), F.col("component").alias("cluster")))
@@ -160,16 +161,15 @@ def label_clusters(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def title_clusters(titles: DataFrame, clusters: DataFrame, common: DataFrame) -> DataFrame:
     """``(title, cluster)``: the clusters that distinct titles name. An initial that fits several people names none."""
     most = clusters.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 0  # no label has more words
-    cut = titles.select("title", F.explode(_windows(most + 1)("title")).alias("form"))
-    tagged = _tagged(cut.select("form").distinct())
-    tagged = materialise(tagged)
+    cut = materialise(titles.select("title", F.explode(_windows(most + 1)("title")).alias("form")))
+    tagged = materialise(_tagged(cut.select("form").distinct()))
     known = materialise(_tagged(clusters.select("form")))
     pairs = materialise(word_pairs(known.select("word").distinct(), tagged.select("word").distinct()))
     found = _candidates(tagged, known, pairs, common).where(_named_by("asked", "known"))
-    named = found.join(clusters.withColumnRenamed("form", "known"), "known").select(F.col("asked").alias("form"), "cluster").distinct()
+    named = materialise(found.join(merged(clusters.withColumnRenamed("form", "known")), "known").select(F.col("asked").alias("form"), "cluster").distinct())
     several = named.groupBy("form").agg(F.count("*").alias("n"))
-    sure = named.join(several, "form").where(~_partial("form") | (F.col("n") == 1)).select("form", "cluster")
-    return cut.join(sure, "form").select("title", "cluster").distinct()
+    sure = named.join(merged(several), "form").where(~_partial("form") | (F.col("n") == 1)).select("form", "cluster")
+    return cut.join(merged(sure), "form").select("title", "cluster").distinct()
 
 
 def variant_links(memories: DataFrame, notes: DataFrame) -> DataFrame:
@@ -186,11 +186,11 @@ def variant_links(memories: DataFrame, notes: DataFrame) -> DataFrame:
         .where(F.col("kind").isin("name", "org") & F.col("label").isNotNull()).distinct()
     )
     clusters, formed, common = label_clusters(labels)
-    member = materialise(formed.join(clusters, "form").select("cluster", F.concat(F.lit("label:"), "label").alias("key")).distinct())
+    member = materialise(formed.join(merged(clusters), "form").select("cluster", F.concat(F.lit("label:"), "label").alias("key")).distinct())
     twin = member.withColumnRenamed("key", "other")
-    between = salted_join(member, twin, ["cluster"]).where("key < other").select(F.col("key").alias("left_key"), F.col("other").alias("right_key"))
+    between = salted_join(member, merged(twin), ["cluster"]).where("key < other").select(F.col("key").alias("left_key"), F.col("other").alias("right_key"))
     titled = notes.where(F.col("title").isNotNull() & F.col("note_id").isNotNull()).select("note_id", "title").distinct()
     named = title_clusters(titled.select("title").distinct(), clusters, common)
-    per_title = salted_join(named, member, ["cluster"]).select("title", "key").distinct()
-    across = salted_join(titled, per_title, ["title"]).select(F.col("key").alias("left_key"), F.concat(F.lit("note:"), "note_id").alias("right_key"))
+    per_title = materialise(salted_join(named, merged(member), ["cluster"]).select("title", "key").distinct())
+    across = salted_join(titled, merged(per_title), ["title"]).select(F.col("key").alias("left_key"), F.concat(F.lit("note:"), "note_id").alias("right_key"))
     return between.unionByName(across).distinct()

@@ -77,6 +77,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of an equi-join that Spark must not broadcast.
+
+    Spark judges by the size of files and by guesses about what is unfolded from them, and a broadcast is built in the driver's
+    memory; where a side grows with the input and has been compressed or exploded, that is many times what it was taken for.
+    """
+    return df.hint("merge")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join for keys of which one may hold a large part of ``big``.
 

@@ -173,5 +173,17 @@ def test_variant_links_of_generated_names(spark):
     assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
 
 
+def test_variant_links_broadcast_nothing(spark):
+    """What a join's side is unfolded to grows with the input, so it must not be built in the driver's memory, however small its files are."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    memories = spark.createDataFrame([(i, [("name", x)], "c") for i, x in enumerate(["Rebecca Dutalozile", "Bex Dutalozile", "R. Dutalozile", "B. Klandrivel"])], _M)
+    assert len(variant_links(memories, spark.createDataFrame([(1, "Chat with Becky Dutalozile", "f")], _N)).collect()) == 6
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    plans = [r.physicalPlanDescription() for r in map(runs.apply, range(runs.size())) if r.executionId() not in before]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_variant_links_empty(spark):
     assert rows(variant_links(spark.createDataFrame([], _M), spark.createDataFrame([], _N))) == []
