@@ -171,13 +171,27 @@ def same_word(a: str, b: str) -> bool:
     return short >= LONG and a[0] == b[0] and phonetic(a) == phonetic(b) and jaro_winkler(a, b) >= CLOSE_LONG
 
 
+def short_stems(a: str) -> set[str]:
+    """The beginnings of three letters or more by which a short form stands for a given name: itself, and without y, ie, i or ey after it."""
+    stem_ = re.sub("(?<=..)(ie|ey|y|i|e)$", "", a)
+    return {x for x in (a, stem_, stem_[:-1] if stem_[-1:] == stem_[-2:-1] else stem_) if len(x) >= 3}
+
+
 def short_of(a: str, b: str) -> bool:
     """``a`` is a short form of the given name ``b`` by rule: its beginning, also with y, ie, i or ey after it, or four letters or more of its rest."""
     if not 3 <= len(a) <= 6 or len(b) < len(a) + 2:
         return False
-    stem_ = re.sub("(?<=..)(ie|ey|y|i|e)$", "", a)
-    stems = {a, stem_, stem_[:-1] if stem_[-1:] == stem_[-2:-1] else stem_}
-    return any(len(x) >= 3 and b.startswith(x) for x in stems) or len(a) >= 4 and a in b[1:]
+    return any(map(b.startswith, short_stems(a))) or len(a) >= 4 and a in b[1:]
+
+
+def short_keys(a: str) -> list[str]:
+    """The keys by which a short form asks for the given names that hold it; ``short_of`` decides."""
+    return sorted({f"^{x}" for x in short_stems(a)} | ({f"~{a}"} if len(a) >= 4 else set())) if 3 <= len(a) <= 6 else []
+
+
+def held_keys(b: str) -> list[str]:
+    """The keys by which a given name answers to its short forms by rule."""
+    return sorted({f"^{b[:n]}" for n in range(3, 7)} | {f"~{b[i : i + n]}" for n in range(4, 7) for i in range(1, len(b) - n + 1)})
 
 
 @lru_cache(maxsize=200_000)

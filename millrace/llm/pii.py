@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
@@ -24,16 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.names import FORMAL, abbreviates, is_given, plain_tokens, same_word, short_of
+from millrace.llm.names import FORMAL, abbreviates, held_keys, is_given, plain_tokens, same_word, short_keys, short_of
 from millrace.llm.boosting import BoostedTrees, best_threshold
 from millrace.llm.lookalike import HYPHENS, INVISIBLE, LATIN_TWINS
 from millrace.session import materialise, salted_join
 
-#: Texts the trees are fitted on, at most.
+#: Different texts the trees are fitted on, at most.
 SAMPLE = 4_000
 #: A word that stands before so many different capitalised words is taken for a given name.
 FOLLOWERS = 5
-#: Lower-case words and given names that go out with the detector, at most; of more, each text gets those that it is judged by, through a join.
+#: Lower-case words and given names that go out with the detector, at most; of more, each text gets those that it is judged by, through a join, with the same results.
 WORD_LIMIT = 300_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -87,6 +87,8 @@ PASSPORT = re.compile(r"(?<![\w-])[A-Z]{1,2} ?\d(?:[ -]?\d){5,8}(?: ?[A-Z])?(?![
 ADDRESS = re.compile(rf"(?i)(?<!\w)(?:(?:unit|flat|apartment|apt|suite)\.? ?\d+[a-z]?(?: ?[,/] ?| ))?\d{{1,5}}[a-z]?,? (?:[a-z][a-z'-]* ){{1,3}}(?:{'|'.join(STREETS.split())})\b")
 WORD = re.compile(r"[A-Z][A-Za-z'’]+|[A-Z](?![\w])\.?")
 JOIN = re.compile(r" {1,3}$|, ?$|\. ?$")
+NAMED = re.compile(r"[A-Za-z][A-Za-z'-]*")
+LOWER_RUN = re.compile(r"[a-z]{4,}")
 LOWER_PAIR = re.compile(r"(?<![\w.@+-])[a-z]{4,} (?=([a-z]{4,})(?![\w@+-]|\.\w))\1")
 BEFORE = re.compile(r"[A-Za-z0-9@]+")
 SMALL = re.compile(r"(?<![\w'.@+-])[a-z]{2,}(?![\w'@+-]|\.\w|\[|\()")
@@ -137,6 +139,30 @@ class Words(frozenset):
         return self.short[word]
 
 
+class OwnWords(Words):
+    """Those of the words that some texts ask for (``asked_words``), looked up in the table of all; short forms by rule of any given name have a ``<`` before them."""
+
+    @cached_property
+    def given(self) -> Container[str]:
+        return _Marked(self)
+
+    def short_given(self, word: str) -> float:
+        return 0.7 if word not in self and "<" + word in self else 0.0
+
+
+class _Marked:
+    """The given names of the table and those that are marked."""
+
+    def __init__(self, words: OwnWords):
+        self.words = words
+
+    def __contains__(self, word: str) -> bool:
+        return word in FORMAL or "^" + word in self.words
+
+    def isdisjoint(self, words: Iterable[str]) -> bool:
+        return not any(w in self for w in words)
+
+
 @lru_cache(maxsize=100_000)
 def _near_given(word: str) -> float:
     return 0.7 if len(word) >= 5 and is_given(word) else 0.0
@@ -199,7 +225,7 @@ def candidates(s: str, lower: Words) -> list[Span]:
     for m in ADDRESS.finditer(s):
         t = m.group()
         parts = plain_tokens(t)
-        named = re.findall(r"[A-Za-z][A-Za-z'-]*", t)
+        named = NAMED.findall(t)
         inner = [w for w in named if w.lower() not in UNITS and len(w) > 1][:-1]
         capital = sum(w[0].isupper() for w in inner) / max(1, len(inner))
         known = sum(w.lower() in lower for w in inner) / max(1, len(inner))
@@ -259,7 +285,7 @@ def _name_spans(s: str, lower: Words) -> list[Span]:
                 elif not any(givens) and not initials:
                     label = 0
                 out.append(Span("name", part[0].start(), end, feats, label))
-    for m in LOWER_PAIR.finditer(s) if not lower.given.isdisjoint(s.split()) else ():
+    for m in LOWER_PAIR.finditer(s) if not lower.given.isdisjoint(LOWER_RUN.findall(s)) else ():
         a, b = m.group().split()
         for given, other in ((a, b), (b, a)):
             if given in lower.given and len(given) > 3 and given not in lower and len(other) >= 5 and other not in lower and not _trade(other):
@@ -268,41 +294,26 @@ def _name_spans(s: str, lower: Words) -> list[Span]:
     return out
 
 
-class _Given:
-    """Stands in for the given names and notes which are looked up."""
-
-    def __init__(self, asked: set[str]):
-        self.asked = asked
-
-    def __contains__(self, word: str) -> bool:
-        self.asked.add("^" + word)
-        return word in FORMAL
-
-    def isdisjoint(self, words: list[str]) -> bool:
-        return False
+def asked_words(text: str) -> set[tuple[str, str]]:
+    """``(word, beside)``: every word on which the candidates of a text may depend, marked by what is asked of it.
 
-
-class _Asked(set):
-    """Stands in for the lower-case words and notes which are looked up."""
-
-    def __contains__(self, word: object) -> bool:
-        self.add(word)
-        return False
-
-    @property
-    def given(self) -> _Given:
-        return _Given(self)
-
-    def short_given(self, word: str) -> float:
-        self.add(word)
-        return 0.0
-
-
-def asked_words(text: str) -> set[str]:
-    """The words on whose being lower-case words the candidates of a text depend."""
-    asked = _Asked()
-    candidates(shadow(text)[0], asked)
-    return set(asked)
+    ``word`` as a lower-case word, with a ``^`` as a given name, with a ``<`` as a short form of one. Words of two in lower case are
+    asked for as given names, and only where they are, the one ``beside`` them as a lower-case word; else that is empty.
+    """
+    s, asked, out = shadow(text)[0], set(), set()
+    for m in set(WORD.findall(s)):
+        for w in {m.rstrip(".'’").lower(), m.rstrip(".").lower()}:
+            asked |= ({w, "^" + w} if len(w) > 1 else set()) | ({"<" + w} if short_keys(w) else set())
+    for m in ADDRESS.finditer(s):
+        asked.update(w.lower() for w in NAMED.findall(m.group()))
+    for m in LOWER_PAIR.finditer(s):
+        a, b = m.group().split()
+        for given, other in ((a, b), (b, a)):
+            if given in FORMAL:
+                asked |= {given, other}
+            else:  # no given name that the texts show is a lower-case word
+                out.add(("^" + given, other))
+    return out | {(w, "") for w in asked}
 
 
 class Detector:
@@ -446,20 +457,29 @@ def lower_words(texts: DataFrame, text_col: str) -> DataFrame:
     return uses.groupBy("word").agg(F.sum("small").alias("small"), F.sum("capital").alias("capital")).where("small > 1 AND small > capital").select("word")
 
 
+def fitted_texts(rows: DataFrame, text_col: str, sample: int) -> list[str]:
+    """The ``sample`` different texts of the least hashes, in their order: neither the number of rows nor repeated texts count."""
+    key = F.xxhash64(text_col)
+    last = rows.select(key.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    return [r[0] for r in rows.where(key <= F.lit(last)).select(text_col).distinct().orderBy(key, text_col).limit(sample).collect()]
+
+
 def learn(texts: DataFrame, text_col: str, sample: int = SAMPLE, word_limit: int = WORD_LIMIT) -> Detector:
-    """A detector fitted on at most ``sample`` of the texts, chosen by a hash of the text; lower-case words and given names are counted over all of them."""
+    """A detector fitted on at most ``sample`` different texts, those of the least hashes; lower-case words and given names are counted over all texts.
+
+    Whether the words go out with the detector or reach each text by a join, every candidate is judged by all of them: ``word_limit``
+    decides where words are kept, not what is found.
+    """
     rows = texts.where(F.length(text_col) > 0).select(text_col)
-    n = rows.count()
-    share = max(1, n // sample)
-    fitted = [r[0] for r in rows.where(F.pmod(F.xxhash64(text_col), F.lit(share)) == 0).orderBy(F.xxhash64(text_col), text_col).limit(sample).collect()]
+    fitted = fitted_texts(rows, text_col, sample)
     lower = materialise(lower_words(rows, text_col))
     words, detector = materialise(lower.unionByName(given_words(rows, text_col, lower))), Detector()
-    mine = words
-    if words.count() > word_limit:
-        detector.words = words
-        asked = sorted(set().union(*map(asked_words, fitted)))
-        mine = words.join(words.sparkSession.createDataFrame([(w,) for w in asked], "word string"), "word", "left_semi")
-    return detector.fit(fitted, Words(r[0] for r in mine.collect()))
+    if words.count() <= word_limit:
+        return detector.fit(fitted, Words(r[0] for r in words.collect()))
+    detector.words = words
+    asked = sorted(set().union(*map(asked_words, fitted)))
+    asked = words.sparkSession.createDataFrame([(0, w, b) for w, b in asked], "row_id bigint, word string, beside string")
+    return detector.fit(fitted, OwnWords(r["word"] for r in _known(asked, words).collect()))
 
 
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
@@ -473,7 +493,7 @@ def _scan(model, emit_text: bool):
             words = batch.column(2).to_pylist() if batch.num_columns > 2 else None
             for lo in range(0, len(texts), 500):
                 part = texts[lo : lo + 500]
-                chosen = detector.select(part, words and [Words(w or ()) for w in words[lo : lo + 500]])
+                chosen = detector.select(part, words and [OwnWords(w or ()) for w in words[lo : lo + 500]])
                 if emit_text:
                     out = []
                     for text, spans in zip(part, chosen):
@@ -492,8 +512,39 @@ def _scan(model, emit_text: bool):
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(i, w) for i, t in enumerate(batch.column(1).to_pylist()) for w in sorted(asked_words(t))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([w for _, w in found], pa.string())], names=["row_id", "word"])
+        found = [(i, w, b) for i, t in enumerate(batch.column(1).to_pylist()) for w, b in sorted(asked_words(t))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _, _ in found], pa.int64())), pa.array([w for _, w, _ in found], pa.string()), pa.array([b for _, _, b in found], pa.string())], names=["row_id", "word", "beside"])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _short_keys(words: pd.Series) -> pd.Series:
+    return words.map(short_keys)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _held_keys(words: pd.Series) -> pd.Series:
+    return words.map(held_keys)
+
+
+@F.pandas_udf(T.BooleanType())
+def _short_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([short_of(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+def _short_forms(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """``(word)``: the words asked for as short forms, with their ``<``, that are one of any given name, of the table or of the texts."""
+    table = words.sparkSession.createDataFrame([(g,) for g in sorted(FORMAL)], "given string")
+    given = words.where(F.col("word").startswith("^")).select(F.expr("substring(word, 2)").alias("given")).unionByName(table).distinct()
+    short = asked.where(F.col("word").startswith("<")).select(F.expr("substring(word, 2)").alias("short")).distinct()
+    pairs = short.select("short", F.explode(_short_keys("short")).alias("key")).join(given.select("given", F.explode(_held_keys("given")).alias("key")), "key")
+    return pairs.select("short", "given").distinct().where(_short_of("short", "given")).select(F.concat(F.lit("<"), "short").alias("word")).distinct()
+
+
+def _known(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """``(row_id, word)``: what holds of the words that texts ask for, from ``(row_id, word, beside)``."""
+    held = materialise(salted_join(asked, words.unionByName(_short_forms(asked, words)), ["word"]))
+    beside = held.where("beside <> ''").select("row_id", F.col("beside").alias("word")).distinct()
+    return held.select("row_id", "word").unionByName(salted_join(beside, words, ["word"])).distinct()
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str, detector: Detector) -> DataFrame:
@@ -501,8 +552,8 @@ def _texts(df: DataFrame, id_col: str, text_col: str, detector: Detector) -> Dat
     rows = df.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"))
     if detector.words is None:
         return rows
-    asked = rows.mapInArrow(_asked, "row_id bigint, word string").distinct()
-    return rows.join(salted_join(asked, detector.words, ["word"]).groupBy("row_id").agg(F.collect_set("word").alias("words")), "row_id", "left")
+    asked = materialise(rows.mapInArrow(_asked, "row_id bigint, word string, beside string").distinct())
+    return rows.join(_known(asked, detector.words).groupBy("row_id").agg(F.collect_set("word").alias("words")), "row_id", "left")
 
 
 def find_pii(df: DataFrame, id_col: str, text_col: str, detector: Detector) -> DataFrame:

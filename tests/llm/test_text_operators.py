@@ -209,6 +209,30 @@ def test_pii_words_of_all_texts(spark):
     assert rows(pii.redact(df, "note_id", "body", parted)) == rows(pii.redact(df, "note_id", "body", held))
 
 
+def test_pii_does_not_depend_on_where_words_are_kept(spark):
+    """Short forms of given names that only other texts show, and the words beside given names in lower case, count the same either way."""
+    shown = [f"Yesterday {g} {s} came." for g in ("Thandolwazi", "Wilgorimo") for s in ("Krandovel", "Bosterim", "Vulkandi", "Drimostal", "Fendarit", "Golbaster")]
+    asking = [f"Ask {g} {s} about it, {g} {s} knows." for g in ("Thando", "Wilgo", "Gorimo") for s in ("Krandovel", "Zelbastor", "Mondarel")]
+    asking += ["we asked thandolwazi meeting notes and wilgorimo zelbastor.", "the krandovel, thandolwazi, came; meeting thandolwazi.", "a meeting of the meeting about meeting notes", "Notes of Thando' Mondarel.", "so thandolwazi meeting it is", "by wilgorimo notes, to it"]
+    df = spark.createDataFrame(list(enumerate([t for t, _ in letters(300, 1)] + shown + asking)), "note_id bigint, body string")
+    held, parted = pii.learn(df, "body", word_limit=10**6), pii.learn(df, "body", word_limit=0)
+    assert held.words is None and parted.words is not None
+    assert held.lower.short_given("thando") == parted.lower.short_given("thando") == 0.7
+    assert held.odds == parted.odds and held.threshold == parted.threshold
+    assert rows(pii.find_pii(df, "note_id", "body", parted)) == rows(pii.find_pii(df, "note_id", "body", held))
+    for r in pii._texts(df, "note_id", "body", parted).collect():
+        s = pii.shadow(r["text"])[0]
+        assert pii.candidates(s, type(parted.lower)(r["words"] or ())) == pii.candidates(s, held.lower), s
+
+
+def test_pii_sample_does_not_depend_on_the_number_of_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii.Detector, "fit", lambda self, texts, lower=None: seen.append(texts) or self)
+    for n, times in ((79, 1), (79, 3), (80, 1)):  # 80 is twice the sample
+        pii.learn(spark.createDataFrame([(f"Text {i % n} is short.",) for i in range(n * times)], "body string"), "body", sample=40)
+    assert seen[0] == seen[1] and len(set(seen[0])) == 40 and len(set(seen[2]) - set(seen[0])) <= 1
+
+
 def test_shadow_places():
     text = "a​b ｃе́"
     s, at = pii.shadow(text)
